@@ -112,11 +112,14 @@ class ShardReader:
 class ChunkEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, each distinct chunk of a batch once.
 
-    A chunk starts at a single space between two characters that are not white space. Byte-level pre-tokenisers always
-    start a token there (a space joins the word that follows it), so a text's ids are its chunks' ids in order.
+    A chunk starts at a single space or line end between two characters that are not white space. Byte-level
+    pre-tokenisers always start a token there (a space joins the word that follows it, a line end stands alone), so a
+    text's ids are its chunks' ids in order. Chunks go to the library in joined runs with a special token between, which
+    saves an object for each; chunks that hold a special token's text go alone.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
+    CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    RUN = 200
 
     def __init__(self, config: str, end_id: int):
         import os
@@ -124,28 +127,36 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.kept = Tokenizer.from_str(config), end_id, {}
+        self.tok, self.kept = Tokenizer.from_str(config), {}
+        self.end = np.array([end_id], "<u4").tobytes()
+        special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.sep_id, self.sep = next(((i, c) for i, c in special.items()), (None, ""))
+        self.special = re.compile("|".join(map(re.escape, special.values()))) if special else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        alone = [c for c in chunks if self.special is None or self.special.search(c)]
+        if alone:
+            held = set(alone)
+            chunks = [c for c in chunks if c not in held]
+        encode = self.tok.encode_batch_fast
+        self.kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False), strict=True))
+        for i in range(0, len(chunks), 100 * self.RUN):
+            some = chunks[i : i + 100 * self.RUN]
+            runs = [self.sep.join(some[k : k + self.RUN]) + self.sep for k in range(0, len(some), self.RUN)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in encode(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.sep_id)
+            raw = ids.tobytes()
+            self.kept.update(zip(some, [raw[a:b] for a, b in zip((np.append(-1, ends[:-1]) * 4 + 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = []
-        for t in texts:
-            parts = self.CUT.split(t) if t else []
-            # parts after the first had a space in front
-            split.append(parts[:1] + [" " + p for p in parts[1:]])
+        cut = self.CUT.split
+        split = [cut(t) if t else [] for t in texts]
         if len(self.kept) > KEEP_CHUNKS:
             self.kept = {}
         kept = self.kept
-        new = list(set().union(*split).difference(kept)) if split else []
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            kept.update(zip(some, (e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                ids += kept[p]
-            ids.append(self.end)
-            out.append(np.array(ids, np.uint32))
+        new = list(set().union(*split).difference(kept))
+        self._learn(new)
+        out = [np.frombuffer(b"".join([kept[p] for p in parts]) + self.end, "<u4") for parts in split]
         for p in new:
             if len(p) > KEEP_CHARS:
                 del kept[p]
@@ -186,8 +197,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
 
         for pdf in batches:
             texts, keys = pdf["text"].tolist(), pdf["id"].tolist()
-            for i in range(0, len(texts), 100):
-                for key, got in zip(keys[i : i + 100], coder.encode(texts[i : i + 100]), strict=True):
+            for i in range(0, len(texts), 500):
+                for key, got in zip(keys[i : i + 500], coder.encode(texts[i : i + 500]), strict=True):
                     ids.append(NULL_ID if key is None or key != key else int(key))
                     arrays.append(got)
                     held += len(got)
