@@ -80,7 +80,7 @@ class Scorer:
         out = np.zeros((len(words), n_lang), np.float32)
         flat, lengths = _codes(words)
         start = np.cumsum(lengths + 1) - lengths - 1  # of each word's pad in front
-        word = np.repeat(np.arange(len(words)), lengths + 1)  # of each code point but the last pad
+        word = np.append(np.repeat(np.arange(len(words)), lengths + 1), len(words) - 1)
         open_ = np.ones(len(words), bool)
         for n in range(LONGEST, 0, -1):
             keys, scores = self.m.gram_keys[n - 1], self.m.gram_scores[n - 1]
@@ -181,7 +181,7 @@ def build(rows: pd.DataFrame, max_grams: int) -> LanguageModel:
     keys, scores = [], []
     flat, lengths = _codes(list(words))
     start = np.cumsum(lengths + 1) - lengths - 1
-    word = np.repeat(np.arange(len(words)), lengths + 1)
+    word = np.append(np.repeat(np.arange(len(words)), lengths + 1), len(words) - 1)
     for n in range(1, LONGEST + 1):
         got = _grams(flat, n)
         w = word[: len(got)]

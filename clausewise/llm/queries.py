@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.runtime import prepare
@@ -36,9 +36,31 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, manifest)
 
 
+def held_out(doc_id) -> Column:
+    """The rows that op8 keeps from learning: crc32 of the id as text, modulo 5, is 0 (a null id counts as '')."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, where=~held_out(F.col("doc_id")))
+    return predict(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model).drop("text")
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.source_mix import mix
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_files": op7_token_files,
+    "op8_language_id": op8_language_id,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLES: dict[str, str] = {}
