@@ -56,11 +56,26 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.quality_votes import judge
+
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "posterior")
+
+
+def op10_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.host_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_votes": op4_quality_votes,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_source_mix": op9_source_mix,
+    "op10_host_filter": op10_host_filter,
 }
 
 ORACLES: dict[str, str] = {}
