@@ -41,7 +41,9 @@ HEAD = struct.Struct("<4sHHQQQ")
 BLOCK, SHARD_IDS = 1 << 16, 1 << 22
 NULL_ID = -(2**63)
 #: Chunks of text kept with their ids between batches of a worker; longer ones are not kept.
-KEEP_CHUNKS, KEEP_CHARS = 200_000, 32
+KEEP_CHUNKS, KEEP_CHARS = 600_000, 32
+#: White space that is not a single space or line end between other characters.
+ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\0")
 
 
 def bit_width(vocab_size: int) -> int:
@@ -133,36 +135,63 @@ class ChunkEncoder:
         self.sep_id, self.sep = next(((i, c) for i, c in special.items()), (None, ""))
         self.special = re.compile("|".join(map(re.escape, special.values()))) if special else None
 
+    @staticmethod
+    def _text(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+
     def _learn(self, chunks: list[str]) -> None:
         alone = [c for c in chunks if self.special is None or self.special.search(c)]
         if alone:
             held = set(alone)
             chunks = [c for c in chunks if c not in held]
         encode = self.tok.encode_batch_fast
-        self.kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(alone, add_special_tokens=False), strict=True))
+        self.kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(list(map(self._text, alone)), add_special_tokens=False), strict=True))
         for i in range(0, len(chunks), 100 * self.RUN):
             some = chunks[i : i + 100 * self.RUN]
-            runs = [self.sep.join(some[k : k + self.RUN]) + self.sep for k in range(0, len(some), self.RUN)]
+            texts = list(map(self._text, some))
+            runs = [self.sep.join(texts[k : k + self.RUN]) + self.sep for k in range(0, len(some), self.RUN)]
             ids = np.concatenate([np.array(e.ids, "<u4") for e in encode(runs, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.sep_id)
             raw = ids.tobytes()
             self.kept.update(zip(some, [raw[a:b] for a, b in zip((np.append(-1, ends[:-1]) * 4 + 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
 
+    def _split(self, text: str) -> list[str]:
+        """Chunks by their keys: the first with U+0000 in front, a later one without its space or with its line end.
+
+        All chunks of a text that has U+0000 itself get it in front.
+        """
+        if ODD.search(text):
+            first, *rest = self.CUT.split(text)
+            if "\0" in text:
+                return ["\0" + p for p in [first, *rest]]
+            return ["\0" + first, *[p[1:] if p[0] == " " else p for p in rest]]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return ["\0" + first, *rest]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = self.CUT.split
-        split = [cut(t) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         if len(self.kept) > KEEP_CHUNKS:
             self.kept = {}
         kept = self.kept
         new = list(set().union(*split).difference(kept))
         self._learn(new)
-        out = [np.frombuffer(b"".join([kept[p] for p in parts]) + self.end, "<u4") for parts in split]
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, parts)) + self.end, "<u4") for parts in split]
         for p in new:
             if len(p) > KEEP_CHARS:
                 del kept[p]
         return out
 
 
+#: By configuration and end id: what a worker has learned serves its later tasks too.
+_CODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def coder_of(config: str, end_id: int) -> ChunkEncoder:
+    if (config, end_id) not in _CODERS:
+        _CODERS[config, end_id] = ChunkEncoder(config, end_id)
+    return _CODERS[config, end_id]
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Tokenise and write all rows in ascending id order below ``path``; runs now.
 
@@ -182,7 +211,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = ChunkEncoder(shared.value, end_id)
+        coder = coder_of(shared.value, end_id)
         store, base = fs.FileSystem.from_uri(path)
         ids: list[int] = []
         arrays: list[np.ndarray] = []
