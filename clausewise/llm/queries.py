@@ -56,6 +56,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.quality_votes import judge
 
@@ -70,6 +77,7 @@ def op10_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op4_quality_votes": op4_quality_votes,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_files": op7_token_files,
