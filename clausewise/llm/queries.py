@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.sentencepiece_bpe import encode_digests
 
@@ -79,6 +85,7 @@ def op10_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_quality_votes": op4_quality_votes,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
