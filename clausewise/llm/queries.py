@@ -62,6 +62,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).cast("long").alias("taken"), F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.weighted_minhash import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.simhash import near_duplicates
 
@@ -83,6 +89,7 @@ def op10_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weighted_minhash": op1_weighted_minhash,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op4_quality_votes": op4_quality_votes,
     "op5_line_dedup": op5_line_dedup,

@@ -116,8 +116,7 @@ class ChunkEncoder:
 
     A chunk starts at a single space or line end between two characters that are not white space. Byte-level
     pre-tokenisers always start a token there (a space joins the word that follows it, a line end stands alone), so a
-    text's ids are its chunks' ids in order. Chunks go to the library in joined runs with a special token between, which
-    saves an object for each; chunks that hold a special token's text go alone.
+    text's ids are its chunks' ids in order. Chunks go to the library in joined runs, which saves an object for each.
     """
 
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -133,27 +132,47 @@ class ChunkEncoder:
         self.end = np.array([end_id], "<u4").tobytes()
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         self.sep_id, self.sep = next(((i, c) for i, c in special.items()), (None, ""))
+        self.odd = re.compile("|".join([r"[\s\0]", *map(re.escape, special.values())]))
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line_id = line[0] if len(line) == 1 and self.sep_id is not None else None
         self.special = re.compile("|".join(map(re.escape, special.values()))) if special else None
 
     @staticmethod
     def _text(key: str) -> str:
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
-    def _learn(self, chunks: list[str]) -> None:
-        alone = [c for c in chunks if self.special is None or self.special.search(c)]
-        if alone:
-            held = set(alone)
-            chunks = [c for c in chunks if c not in held]
-        encode = self.tok.encode_batch_fast
-        self.kept.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(alone, encode(list(map(self._text, alone)), add_special_tokens=False), strict=True))
-        for i in range(0, len(chunks), 100 * self.RUN):
-            some = chunks[i : i + 100 * self.RUN]
-            texts = list(map(self._text, some))
-            runs = [self.sep.join(texts[k : k + self.RUN]) + self.sep for k in range(0, len(some), self.RUN)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in encode(runs, add_special_tokens=False)])
-            ends = np.flatnonzero(ids == self.sep_id)
+    def _learn(self, keys: list[str]) -> None:
+        """Encode new chunks, in runs with something between that gives one id of its own: a line end between words that
+        follow a space, a special token between other chunks. Chunks that hold a special token's text go alone.
+        """
+        odd = [k for k in keys if self.odd.search(k)]
+        if odd:
+            held = set(odd)
+            keys = [k for k in keys if k not in held]
+            texts = list(map(self._text, odd))
+            if self.special is None or self.line_id is None:
+                self._alone(odd, texts)
+            else:
+                alone = [bool(self.special.search(t)) for t in texts]
+                self._alone([k for k, x in zip(odd, alone, strict=True) if x], [t for t, x in zip(texts, alone, strict=True) if x])
+                self._runs([k for k, x in zip(odd, alone, strict=True) if not x], [t for t, x in zip(texts, alone, strict=True) if not x], self.sep, self.sep_id)
+        if self.line_id is None:
+            self._alone(keys, [" " + k for k in keys])
+        else:
+            self._runs(keys, keys, "\n ", self.line_id, " ")
+
+    def _alone(self, keys: list[str], texts: list[str]) -> None:
+        self.kept.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(keys, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+    def _runs(self, keys: list[str], texts: list[str], sep: str, sep_id: int, front: str = "") -> None:
+        size = self.RUN
+        end = sep.rstrip(" ")
+        for i in range(0, len(keys), 100 * size):
+            runs = [front + sep.join(texts[k : k + size]) + end for k in range(i, min(i + 100 * size, len(keys)), size)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(runs, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == sep_id) * 4
             raw = ids.tobytes()
-            self.kept.update(zip(some, [raw[a:b] for a, b in zip((np.append(-1, ends[:-1]) * 4 + 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
+            self.kept.update(zip(keys[i : i + 100 * size], [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)], strict=True))
 
     def _split(self, text: str) -> list[str]:
         """Chunks by their keys: the first with U+0000 in front, a later one without its space or with its line end.
