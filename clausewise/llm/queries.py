@@ -75,6 +75,16 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    # the best find: the greatest coefficient, then the earliest
+    best = F.array_sort("finds", lambda a, b: F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1)).otherwise(F.signum(a["start"] - b["start"]).cast("int")))[0]
+    best = F.when(F.size("finds") > 0, best)
+    return found.select(F.col("id").alias("doc_id"), F.size("finds").alias("n_finds"), best["template"].alias("license"), best["dice"].alias("dice"), best["start"].alias("span_start"), best["end"].alias("span_end"), F.to_json("finds").alias("finds"))
+
+
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausewise.llm.quality_votes import judge
 
@@ -91,6 +101,7 @@ def op10_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_minhash": op1_weighted_minhash,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_votes": op4_quality_votes,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
