@@ -221,3 +221,16 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label
 
     (got,) = fresh(docs, "language_prediction")
     return docs.withColumn(got, run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{got}.{label_col}").alias(label_col), F.col(f"{got}.{score_col}").alias(score_col))
+
+
+def accepted(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose language is not identified: no letter, or a score below min_score. The model is
+    fitted on a bounded sample of docs' own labelled rows; without any label nothing can be told and all rows stay."""
+    from clausewise.llm.columns import fresh
+
+    model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not model.languages:
+        return docs
+    label, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, model, text_col, label, score)
+    return found.filter((F.col(label) != UNKNOWN) & (F.col(score) >= min_score)).drop(label, score)

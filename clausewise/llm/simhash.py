@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.llm.columns import fresh
 from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
@@ -63,13 +64,13 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long) of every row."""
+    """(id long, tk long, fp long) of every row; tk is the text's XXH64, which tells rows of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "fp": [_signed(fingerprint(t)) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "tk": pdf["tk"], "fp": [_signed(fingerprint(t)) for t in pdf["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tk"), F.col(f"`{text_col}`").alias("text")).mapInPandas(run, "id long, tk long, fp long")
 
 
 # Of the positions 1..31 of a half's upper bits, position p is bit p - 1; a word of the code has syndrome 0.
@@ -193,7 +194,28 @@ def link_components(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fp (signed 64-bit), component (least id reachable over links)."""
+    """Per row: id, tk, fp (signed 64-bit), component (least id reachable over links)."""
     prints = stored(fingerprints(docs, id_col, text_col))
     # the stored right side lets a fingerprint with very many copies be split
-    return prints.join(stored(link_components(prints).select("fp", "component")), "fp").select("id", "fp", "component")
+    return prints.join(stored(link_components(prints).select("fp", "component")), "fp").select("id", "tk", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least id (null last), then of the least text hash."""
+    found = stored(near_duplicates(docs, id_col, text_col))
+    # components of rows without any id are told apart by fingerprint
+    group = F.when(F.col("component").isNull(), F.col("fp"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "tk")
+    best = found.groupBy("component", group.alias("alone")).agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
+    kept = stored(best.select("best.id", "best.tk"))
+    of_row = found.groupBy("id", "tk").agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["tk"] == b["tk"])
+    gone = stored(of_row.join(kept, same(of_row, kept), "left_anti").select("id", "tk"))
+    text = F.col(f"`{text_col}`")
+    gid, gtk = fresh(docs, "gone_id", "gone_tk")
+    left = docs.join(gone.toDF(gid, gtk), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gid)) & (F.xxhash64(text) == F.col(gtk)), "left_anti")
+    if of_row.filter("rows > 1").join(kept, same(of_row, kept), "left_semi").isEmpty():
+        return left
+    # equal rows of a kept id and text: one of them
+    (tk,) = fresh(docs, "tk")
+    return left.withColumn(tk, F.xxhash64(text)).dropDuplicates([id_col, tk]).drop(tk)

@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.columns import WORD
-from clausewise.runtime import cut
+from clausewise.llm.columns import WORD, fresh
+from clausewise.runtime import cut, stored
 
 Schedule = list[tuple[float, float]]
 
@@ -101,9 +101,10 @@ def invert(demand: dict[str, Column], at: Column) -> Column:
 
 
 def mix(docs: DataFrame, weight: Callable[[int], float] = rank_weight, schedule: Callable[[int], Schedule] = rank_schedule, max_epochs: int = 3, share: float = 1.0, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies, positions array<double> (one per copy taken)."""
+    """Per row: id, tk (the text's hash), source, size, source_size, target, copies, positions array<double> (one per copy
+    taken)."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     keyed = cut(sized.withColumn("h", F.xxhash64("id", F.lit(9))))
     per = keyed.groupBy("source").agg(F.sum("size").alias("size"))
     found = [(r["source"], r["size"]) for r in per.limit(max_sources + 1).collect()]
@@ -128,11 +129,11 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = rank_weight, schedule:
                 sums = pdf["size"].to_numpy()[rows].cumsum()
                 before.iloc[rows] = held.get(key, 0) + sums - pdf["size"].to_numpy()[rows]
                 held[key] = held.get(key, 0) + int(sums[-1])
-            yield pdf.assign(before=before, part=part)[["id", "source", "size", "before", "part"]]
+            yield pdf.assign(before=before, part=part)[["id", "tk", "source", "size", "before", "part"]]
 
     id_kind = docs.schema[id_col].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run_sums = cut(keyed.repartitionByRange(n, "source", "h", "id", "size").sortWithinPartitions("source", "h", "id", "size").mapInPandas(run, f"id {id_kind}, source {kind}, size long, before long, part int"))
+    run_sums = cut(keyed.repartitionByRange(n, "source", "h", "id", "size", "tk").sortWithinPartitions("source", "h", "id", "size", "tk").mapInPandas(run, f"id {id_kind}, tk long, source {kind}, size long, before long, part int"))
     # a row for each partition and source that meet: partitions + sources at most
     totals = sorted(((r["part"], r["source"], r["size"]) for r in run_sums.groupBy("part", "source").agg(F.sum("size").alias("size")).collect()), key=lambda r: r[0])
     seen: dict = {}
@@ -142,7 +143,7 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = rank_weight, schedule:
         seen[name] = seen.get(name, 0) + size
     shift = spark.createDataFrame(shifts, f"part int, source {kind}, shift long")
     on = lambda a, b: a["source"].eqNullSafe(b["source"])
-    x = run_sums.join(F.broadcast(shift), (run_sums["part"] == shift["part"]) & on(run_sums, shift)).select(run_sums["id"], run_sums["source"], "size", (F.col("before") + F.col("shift")).alias("before"))
+    x = run_sums.join(F.broadcast(shift), (run_sums["part"] == shift["part"]) & on(run_sums, shift)).select(run_sums["id"], "tk", run_sums["source"], "size", (F.col("before") + F.col("shift")).alias("before"))
     # one row a source: max_sources at most
     x = x.join(F.broadcast(plans), on(x, plans)).drop(plans["source"])
     middle = F.col("before") + F.col("size") / 2
@@ -150,9 +151,24 @@ def mix(docs: DataFrame, weight: Callable[[int], float] = rank_weight, schedule:
     x = x.withColumn("copies", copies)
     demand = {c: F.col(c) for c in ("t0", "w0", "slope", "c0")}
     places = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: invert(demand, middle + k * F.col("source_size")))
-    return x.select("id", "source", "size", "source_size", "target", "copies", F.when(F.col("copies") > 0, places).otherwise(F.array().cast("array<double>")).alias("positions"))
+    return x.select("id", "tk", "source", "size", "source_size", "target", "copies", F.when(F.col("copies") > 0, places).otherwise(F.array().cast("array<double>")).alias("positions"))
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy taken (id, copy, position), range-sorted by position."""
     return mixed.select("id", F.posexplode("positions").alias("copy", "position")).orderBy("position", "id", "copy")
+
+
+def training_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs in training order: rows not taken go, rows taken more than once repeat; columns stay as they are."""
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    # equal rows (id and text) pool their positions
+    pooled = stored(mixed.filter(F.size("positions") > 0).groupBy("id", "tk").agg(F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("positions")).alias("positions")))
+    pid, ptk, rows, places, place, tk = fresh(docs, "mix_id", "mix_tk", "mix_rows", "mix_positions", "mix_position", "row_tk")
+    text = F.col(f"`{text_col}`")
+    left = docs
+    if not pooled.filter("rows > 1").isEmpty():
+        left = docs.withColumn(tk, F.xxhash64(text)).dropDuplicates([id_col, tk]).drop(tk)
+    x = left.join(pooled.toDF(pid, ptk, rows, places), F.col(f"`{id_col}`").eqNullSafe(F.col(pid)) & (F.xxhash64(text) == F.col(ptk)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return x.select(*columns, F.explode(places).alias(place)).orderBy(place, F.col(f"`{id_col}`")).select(*columns)
