@@ -5,9 +5,9 @@ and in lower case. Its shingles are the ``SHINGLE`` characters from each word st
 words are very long on average (scripts without spaces) takes those from every character. Lines link at a Jaccard similarity
 of ``threshold`` or more between shingle sets.
 
-Steps, all DataFrame functions: lines are reduced to distinct normal forms (named by a 64-bit hash); shingles are exploded
-next to them and ROWS * BANDS minima of hashes kept by a codegen-friendly aggregate without a further exchange; each band's
-minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of 99.96 %.
+Steps, all DataFrame functions: lines are reduced to distinct normal forms (named by a 64-bit hash) in a table bucketed by
+name; their shingles are exploded and ROWS * BANDS minima of hashes kept by a hash aggregate without a further exchange;
+each band's minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of 99.96 %.
 Buckets are first reduced to their least and greatest line and their count. Of larger buckets, every member is
 checked against the least one, verified links are joined by union-find, and the members that stay outside their bucket's
 largest component are checked against all members of other components. So a bucket of n near-equal lines costs about n
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.columns import fresh
 from clausewise.llm.components import connected_components
-from clausewise.runtime import shared_dir, stored
+from clausewise.runtime import stored
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 6, 0.8
 #: Mean characters per word from which shingles start at every character.
@@ -59,12 +59,6 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _compact(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _verify(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets reach the threshold. Many pairs may share their a."""
     text = lines.select("name", "norm")
@@ -79,15 +73,17 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """(name, component, first_id, n): lines that occur more than once or link to others, with their component, its
     first document and the line's occurrences."""
     lines = _lines(docs, id_col, text_col)
-    # one exchange: the text of each distinct line of a task
+    spark = docs.sparkSession
+    # the one exchange of text: each distinct line of a task
     distinct = lines.groupBy("name").agg(F.first("norm").alias("norm"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    hashed = distinct.select("name", "norm", "first_id", "n", F.explode(shingles(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
-    mins = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    signed = hashed.groupBy("name").agg(F.first("norm").alias("norm"), F.min("first_id").alias("first_id"), F.min("n").alias("n"), *mins)
+    base = "lines_" + uuid.uuid4().hex
+    # dealt by name into buckets, so that neither the minima nor the look-ups of texts exchange it again
+    distinct.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").saveAsTable(base, format="parquet")
+    table = spark.table(base)
+    hashed = table.select("name", F.explode(shingles(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
+    signed = hashed.groupBy("name").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)])
     bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
-    table = _compact(signed.select("name", "norm", "first_id", "n", bands.alias("bands")))
-
-    members = table.select("name", F.explode("bands").alias("bucket"))
+    members = stored(signed.select("name", bands.alias("bands"))).select("name", F.explode("bands").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
     large = stored(members.join(buckets.filter("lines > 2").select("bucket", "low"), "bucket"))
     pairs = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(large.filter("name != low").select(F.col("low").alias("a"), F.col("name").alias("b"))).distinct()
@@ -108,7 +104,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name"), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
     marked = stored(marked)
     first = marked.groupBy("component").agg(F.min("first_id").alias("comp_first"))
-    return stored(marked.join(first, "component").select("name", "component", F.col("comp_first").alias("first_id"), "n"))
+    out = stored(marked.join(first, "component").select("name", "component", F.col("comp_first").alias("first_id"), "n"))
+    spark.sql(f"DROP TABLE {base}")
+    return out
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
