@@ -42,8 +42,6 @@ BLOCK, SHARD_IDS = 1 << 16, 1 << 22
 NULL_ID = -(2**63)
 #: Chunks of text kept with their ids between batches of a worker; longer ones are not kept.
 KEEP_CHUNKS, KEEP_CHARS = 600_000, 32
-#: White space that is not a single space or line end between other characters.
-ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\0")
 
 
 def bit_width(vocab_size: int) -> int:
@@ -179,7 +177,8 @@ class ChunkEncoder:
 
         All chunks of a text that has U+0000 itself get it in front.
         """
-        if ODD.search(text):
+        # white space other than single spaces and line ends between words
+        if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
             first, *rest = self.CUT.split(text)
             if "\0" in text:
                 return ["\0" + p for p in [first, *rest]]
