@@ -9,10 +9,10 @@ Steps, all DataFrame functions: lines are reduced to distinct normal forms (name
 name; their shingles are exploded and ROWS * BANDS minima of hashes kept by a hash aggregate without a further exchange;
 each band's minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of 99.96 %.
 Buckets are first reduced to their least and greatest line and their count. Of larger buckets, every member is
-checked against the least one, verified links are joined by union-find, and the members that stay outside their bucket's
-largest component are checked against all members of other components. So a bucket of n near-equal lines costs about n
-checks, not n * n, and no candidate link between components is left out. Verification computes the exact Jaccard
-similarity of the shingle sets.
+checked against the line with most occurrences, and verified links are joined by union-find. Members that stay outside
+their bucket's largest component are compared with all lines of larger buckets by an exact prefix filter on their rarest
+shingles. So a bucket of n near-equal lines costs about n checks, not n * n, and no candidate link between components is
+left out. Verification computes the exact Jaccard similarity of the shingle sets.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
 are dropped; lines without a word always stay.
@@ -59,16 +59,41 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
+def _sets(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(name, s): the distinct shingles of the named lines."""
+    return names.join(lines.select("name", "norm"), "name").select("name", F.array_distinct(shingles(F.col("norm"))).alias("s"))
+
+
 def _verify(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets reach the threshold. Many pairs may share their a."""
-    text = lines.select("name", "norm")
-    sides = stored(pairs.select(F.col("a").alias("name")).distinct().join(text, "name").select(F.col("name").alias("a"), F.col("norm").alias("norm_a")))
-    x = pairs.join(text.select(F.col("name").alias("b"), F.col("norm").alias("norm_b")), "b").join(sides, "a")
-    x = x.select("a", "b", F.array_distinct(shingles(F.col("norm_a"))).alias("sa"), F.array_distinct(shingles(F.col("norm_b"))).alias("sb"))
+    sides = stored(_sets(pairs.select(F.col("a").alias("name")).distinct(), lines).withColumnsRenamed({"name": "a", "s": "sa"}))
+    text = lines.select(F.col("name").alias("b"), F.col("norm").alias("norm_b"))
+    x = pairs.join(text, "b").join(sides, "a").select("a", "b", "sa", F.array_distinct(shingles(F.col("norm_b"))).alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return x.filter(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) between outside members and lines of other components: those that can reach the threshold.
+
+    Two sets can only reach it if they share one of their rarest shingles, the first n - ceil(threshold * n) + 1 of n in
+    an order by frequency, and if neither is larger than the other over threshold. A line that owes its place outside to
+    many edits has rare shingles of its own there, so it meets few others, and no pair that could link is left out.
+    """
+    which = stored(named.select("name", "component").distinct())
+    sets = stored(_sets(which.select("name"), lines))
+    each = sets.select("name", F.size("s").alias("n"), F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))
+    often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
+    ranked = each.join(often, "g").groupBy("name").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order"))
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.explode("p").alias("q")).select("name", "component", "n", F.col("q.g").alias("g")))
+    out = stored(outside.select("name").distinct())
+    mine = stored(prefix.join(out, "name").select("g", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")))
+    theirs = prefix.join(out.withColumn("o", F.lit(True)), "name", "left").select("g", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.coalesce("o", F.lit(False)).alias("o"))
+    met = theirs.join(mine, "g").filter((F.col("ca") != F.col("cb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold) & (~F.col("o") | (F.col("a") < F.col("b"))))
+    return met.select("a", "b").distinct()
+
+
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(name, component, first_id, n): lines that occur more than once or link to others, with their component, its
     first document and the line's occurrences."""
@@ -81,24 +106,25 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     distinct.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").saveAsTable(base, format="parquet")
     table = spark.table(base)
     hashed = table.select("name", F.explode(shingles(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
-    signed = hashed.groupBy("name").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(ROWS * BANDS)])
+    # the least of h xor a constant: of two sets it is one element with the chance of their similarity
+    signed = hashed.groupBy("name").agg(*[F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}")))).alias(f"m{k}") for k in range(ROWS * BANDS)])
     bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
     members = stored(signed.select("name", bands.alias("bands"))).select("name", F.explode("bands").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
-    large = stored(members.join(buckets.filter("lines > 2").select("bucket", "low"), "bucket"))
-    pairs = buckets.select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(large.filter("name != low").select(F.col("low").alias("a"), F.col("name").alias("b"))).distinct()
+    large = members.join(buckets.filter("lines > 2").select("bucket"), "bucket")
+    # a larger bucket's leader is its line with most occurrences: others tend to be edits of it
+    large = stored(large.join(table.select("name", "n"), "name"))
+    leaders = stored(large.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
+    star = large.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b"))
+    pairs = buckets.filter("lines = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(star).distinct()
     links = stored(_verify(stored(pairs), table, threshold))
     found = stored(connected_components(links))
 
-    # members outside their bucket's largest component meet the members of all other components
-    named = stored(large.join(found.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", "low", F.coalesce("component", "name").alias("component")))
+    named = stored(large.join(found.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("component", "name").alias("component")))
     sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    outside = stored(named.join(main, "bucket").filter("component != main").select("bucket", F.col("name").alias("x"), F.col("component").alias("cx"), F.col("main")))
-    met = named.select("bucket", F.col("name").alias("y"), F.col("component").alias("cy"), "low").join(outside, "bucket")
-    # two outside members meet once; pairs with the least member were checked
-    met = met.filter("cx != cy AND x != low AND y != low AND (cy = main OR x < y)")
-    more = _verify(stored(met.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()), table, threshold)
+    main = stored(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
+    outside = stored(named.join(main, "bucket").filter("component != main").select("name"))
+    more = _verify(stored(_prefix_pairs(outside, named, table, threshold)), table, threshold)
     final = connected_components(stored(links.unionAll(more)))
 
     marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name"), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
