@@ -368,13 +368,21 @@ class Engine:
         if not self.constraints:
             return rules
         heads = {c.head.pred for c in self.constraints}
-        return {p: [x for r in rs for x in (rewrite_rule(r, self.constraints) if {q for q, _ in body_atoms(r)} & heads and r.kind == "det" and not self._asks(r) else [r])] for p, rs in rules.items()}
+        out: dict[str, list[Rule]] = {}
+        for p, rs in rules.items():
+            for r in rs:
+                if r.kind != "det" or self._asks(r) or not {q for q, _ in body_atoms(r)} & heads:
+                    out.setdefault(p, []).append(r)
+                    continue
+                # a predicate that only constraints derive has no rows of its own
+                made = [x for x in rewrite_rule(r, self.constraints) if all(q not in heads or self.is_predicate(q) for q, _ in body_atoms(x))]
+                if not made:
+                    raise ProgramError(f"nothing derives the body of {p}")
+                out.setdefault(p, []).extend(made)
+        return out
 
     def _solve(self, goal: str) -> None:
         rules = self._effective(reachable(goal, self.rules))
-        for c in self.constraints:  # predicates that only constraints derive
-            if c.head.pred not in self.tables and c.head.pred not in rules and c.head.pred == goal:
-                rules[goal] = [Rule(c.head, c.body)]
         self._run(rules)
 
     def _run(self, rules: dict[str, list[Rule]], extra: dict[str, Relation] | None = None) -> dict[str, Relation]:

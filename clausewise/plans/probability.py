@@ -9,6 +9,7 @@ Shannon expansion with independent components and memoisation; choices branch ov
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from itertools import combinations, product
 from typing import Any
@@ -342,12 +343,13 @@ class Solver:
             clause = F.filter(F.array(*cells), lambda x: x.isNotNull()) if cells else F.array().cast("array<struct<id:string,p:double,block:string,neg:boolean>>")
             side = rel.df.select(*map(_col, head), F.sort_array(clause).alias("__clause"))
             rows = side if rows is None else rows.unionByName(side)
-        grouped = rows.distinct().groupBy(*map(_col, head)).agg(F.collect_list("__clause").alias("__clauses"))
+        # clauses travel as JSON: arrays of arrays of structs have no frame form
+        grouped = rows.distinct().groupBy(*map(_col, head)).agg(F.collect_list(F.to_json("__clause")).alias("__clauses"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = pdf[head].copy()
-                out[P] = [count_clauses([[(c["id"], c["p"], c["block"], c["neg"]) for c in clause] for clause in clauses]) for clauses in pdf["__clauses"]]
+                out[P] = [count_clauses([[(c["id"], c["p"], c.get("block"), c["neg"]) for c in json.loads(clause)] for clause in clauses]) for clauses in pdf["__clauses"]]
                 yield out
 
         fields = {f.name: f.dataType.simpleString() for f in grouped.schema}
