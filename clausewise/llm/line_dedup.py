@@ -59,16 +59,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _sets(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """(name, s): the distinct shingles of the named lines."""
-    return names.join(lines.select("name", "norm"), "name").select("name", F.array_distinct(shingles(F.col("norm"))).alias("s"))
+def _texts(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(name, norm) of the named lines."""
+    return names.join(lines.select("name", "norm"), "name")
 
 
 def _verify(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets reach the threshold. Many pairs may share their a."""
-    sides = stored(_sets(pairs.select(F.col("a").alias("name")).distinct(), lines).withColumnsRenamed({"name": "a", "s": "sa"}))
+    sides = stored(_texts(pairs.select(F.col("a").alias("name")).distinct(), lines).toDF("a", "norm_a"))
     text = lines.select(F.col("name").alias("b"), F.col("norm").alias("norm_b"))
-    x = pairs.join(text, "b").join(sides, "a").select("a", "b", "sa", F.array_distinct(shingles(F.col("norm_b"))).alias("sb"))
+    x = pairs.join(text, "b").join(sides, "a").select("a", "b", F.array_distinct(shingles(F.col("norm_a"))).alias("sa"), F.array_distinct(shingles(F.col("norm_b"))).alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return x.filter(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -81,10 +81,10 @@ def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, thresh
     many edits has rare shingles of its own there, so it meets few others, and no pair that could link is left out.
     """
     which = stored(named.select("name", "component").distinct())
-    sets = stored(_sets(which.select("name"), lines))
-    each = sets.select("name", F.size("s").alias("n"), F.explode("s").alias("g")).withColumn("g", F.xxhash64("g"))
+    texts = stored(_texts(which.select("name"), lines))
+    each = texts.select("name", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("g")).select("name", F.xxhash64("g").alias("g"))
     often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
-    ranked = each.join(often, "g").groupBy("name").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order"))
+    ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
     prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.explode("p").alias("q")).select("name", "component", "n", F.col("q.g").alias("g")))
     out = stored(outside.select("name").distinct())
@@ -125,7 +125,12 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     main = stored(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
     outside = stored(named.join(main, "bucket").filter("component != main").select("name"))
     more = _verify(stored(_prefix_pairs(outside, named, table, threshold)), table, threshold)
-    final = connected_components(stored(links.unionAll(more)))
+    # later links join components that exist already
+    a, b = (F.coalesce(F.col(c), F.col(d)) for c, d in (("ca", "a"), ("cb", "b")))
+    joined = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left").select(a.alias("a"), b.alias("b"))
+    merged = stored(connected_components(joined).toDF("component", "whole"))
+    old = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    final = old.unionAll(merged.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
     marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name"), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
     marked = stored(marked)

@@ -276,7 +276,8 @@ class PieceCoder:
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, U+2581 as space, without the one space put in front; broken bytes as U+FFFD."""
         raw = b"".join(map(self.t.out_bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if raw.startswith(" ") else raw
+        first = next((i for i in ids if not self.t.is_control[i]), None)
+        return raw[1:] if raw.startswith(" ") and first != self.t.unk_id else raw
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, bytes, str]]:
         """(number of ids, ids as decimals each followed by a comma, decoded text) of each text."""
