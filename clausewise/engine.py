@@ -452,6 +452,8 @@ class Engine:
         body = r.body
         if self._asks(r):
             return self._prob_rule(r, extra, names)
+        if r.given is not None:
+            raise ProgramError("a conditional rule needs exactly one PROB in its head")
         if any(isinstance(p, ProbBody) for p in conjuncts(body)):
             body = self._desugar(r, extra)
         for q, _ in body_atoms(r):
@@ -462,7 +464,7 @@ class Engine:
 
     def _solver(self, extra: dict[str, Relation]) -> Solver:
         c = self.compiler(extra)
-        return Solver(c, lambda n: "det" if n in extra and n not in self.kinds else self.kind(n), lambda n: self.rules[n])
+        return Solver(c, lambda n: self.kind(n) if n in self.kinds or n in self.rules else "det", lambda n: self.rules[n])
 
     def _prob(self, head: list[str], body: Any, given: Any, extra: dict[str, Relation]) -> ProbRelation:
         s = self._solver(extra)

@@ -187,8 +187,8 @@ def register(functions) -> None:
 def region(voxels: Column, size: float = 1.0) -> Column:
     """A region of an array of (i, j, k) structs; a voxel spans ``size`` from its corner."""
     axes = ("i", "j", "k")
-    low = F.array(*[F.array_min(F.transform(voxels, lambda v, c=c: v[c])).cast("double") * size for c in axes])
-    high = F.array(*[(F.array_max(F.transform(voxels, lambda v, c=c: v[c])).cast("double") + 1) * size for c in axes])
+    low = F.array(*[F.array_min(voxels[c]).cast("double") * size for c in axes])
+    high = F.array(*[(F.array_max(voxels[c]).cast("double") + 1) * size for c in axes])
     return F.struct(low.alias("lb"), high.alias("ub"), F.sort_array(F.array_distinct(voxels)).alias("voxels"))
 
 

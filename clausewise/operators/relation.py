@@ -293,7 +293,6 @@ class Relation:
         """User aggregates: one call per group in Arrow; a group's rows meet in one task, as the function needs them all."""
         import pandas as pd
 
-        spark = self.df.sparkSession
         kinds = {f.name: f.dataType.simpleString() for f in self.df.schema}
         fields = [f"`{k}` {kinds[k]}" for k in keys]
         for t, s, f in aggregates:
@@ -305,11 +304,10 @@ class Relation:
             values = [(by_name[f] if isinstance(f, str) else f)(pdf[s] if s else pdf) for _, s, f in aggregates]
             return pd.DataFrame([[*key, *values]])
 
-        grouped = self.df.groupBy(*map(_col, keys)) if keys else self.df.groupBy(F.lit(1))
         if not keys:
-            return Relation(grouped.applyInPandas(lambda pdf: run((), pdf), ", ".join(fields)), True)
-        assert spark is not None
-        return Relation(grouped.applyInPandas(run, ", ".join(fields)), True)
+            one = self.df.withColumn("__one", F.lit(1)).groupBy("__one")
+            return Relation(one.applyInPandas(lambda pdf: run((), pdf), ", ".join(fields)), True)
+        return Relation(self.df.groupBy(*map(_col, keys)).applyInPandas(run, ", ".join(fields)), True)
 
     # --- sinks
     def to_pandas(self):

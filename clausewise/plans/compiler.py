@@ -8,6 +8,7 @@ whole rule.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -32,6 +33,7 @@ from clausewise.plans.ast import (
     TupleTerm,
     Truth,
     Var,
+    atoms_of,
     conjuncts,
     free_vars,
     fresh_name,
@@ -180,9 +182,30 @@ class Compiler:
     def _is_condition(self, p: Any) -> bool:
         return isinstance(p, Compare) or (isinstance(p, Atom) and not self.is_predicate(p.pred) and p.pred in self.functions.scalars)
 
+    def _boolean(self, f: Any) -> Column | None:
+        """A formula of conditions alone as a boolean Column."""
+        if isinstance(f, Compare):
+            return self.condition(f)
+        if isinstance(f, Truth):
+            return F.lit(f.value)
+        if isinstance(f, Atom) and self._is_condition(f):
+            return self.functions.scalars[f.pred](*[self.column(a) for a in f.args])
+        if isinstance(f, Not):
+            inner = self._boolean(f.body)
+            return None if inner is None else ~inner
+        if isinstance(f, (And, Or)):
+            sides = [self._boolean(x) for x in f.items]
+            if any(x is None for x in sides):
+                return None
+            return reduce((lambda a, b: a & b) if isinstance(f, And) else (lambda a, b: a | b), sides)
+        return None
+
     def _filters(self, waiting: list, rel: Relation | None, bound: set):
         if rel is None:
             return None
+        for p in waiting:
+            if isinstance(p, (Or, And)) and set(free_vars(p)) <= bound and (c := self._boolean(p)) is not None:
+                return [q for q in waiting if q is not p], Relation(rel.df.filter(c), rel.distinct)
         ready, rest = [], []
         for p in waiting:
             inner = p.body if isinstance(p, Not) else p
@@ -247,6 +270,8 @@ class Compiler:
         for k, p in enumerate(waiting):
             if isinstance(p, Atom) and self.is_predicate(p.pred):
                 score = (len(set(free_vars(p)) & bound), any(isinstance(t, Const) for t in p.args), -k)
+            elif isinstance(p, Or) and not any(self.is_predicate(a.pred) for a, _ in atoms_of(p)):
+                continue
             elif isinstance(p, (Exists, Or, AggBody)):
                 score = (len(set(free_vars(p)) & bound), False, -k - len(waiting))
             else:

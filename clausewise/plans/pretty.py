@@ -25,7 +25,8 @@ def show(x: Any) -> str:
     if isinstance(x, Lambda):
         return f"lambda {', '.join(x.params)}: {show(x.body)}"
     if isinstance(x, Atom):
-        return f"{x.pred}({', '.join(map(show, x.args))})"
+        name = x.pred if x.pred.isidentifier() else f"`{x.pred}`"
+        return f"{name}({', '.join(map(show, x.args))})"
     if isinstance(x, Compare):
         return f"({show(x.left)} {x.op} {show(x.right)})"
     if isinstance(x, Not):
