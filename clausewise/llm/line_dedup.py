@@ -77,8 +77,9 @@ def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, thresh
     """Candidate pairs (a, b) between outside members and lines of other components: those that can reach the threshold.
 
     Two sets can only reach it if they share one of their rarest shingles, the first n - ceil(threshold * n) + 1 of n in
-    an order by frequency, and if neither is larger than the other over threshold. A line that owes its place outside to
-    many edits has rare shingles of its own there, so it meets few others, and no pair that could link is left out.
+    an order by frequency, at places late enough in neither order to leave room for the common part. A line that owes its
+    place outside to many edits has rare shingles of its own in front, so it meets few others, and no pair that could
+    link is left out.
     """
     which = stored(named.select("name", "component").distinct())
     texts = stored(_texts(which.select("name"), lines))
@@ -86,11 +87,14 @@ def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, thresh
     often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
     ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.explode("p").alias("q")).select("name", "component", "n", F.col("q.g").alias("g")))
+    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.posexplode("p").alias("at", "q")).select("name", "component", "n", "at", F.col("q.g").alias("g")))
     out = stored(outside.select("name").distinct())
-    mine = stored(prefix.join(out, "name").select("g", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")))
-    theirs = prefix.join(out.withColumn("o", F.lit(True)), "name", "left").select("g", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.coalesce("o", F.lit(False)).alias("o"))
-    met = theirs.join(mine, "g").filter((F.col("ca") != F.col("cb")) & (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold) & (~F.col("o") | (F.col("a") < F.col("b"))))
+    mine = stored(prefix.join(out, "name").select("g", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib")))
+    theirs = prefix.join(out.withColumn("o", F.lit(True)), "name", "left").select("g", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.coalesce("o", F.lit(False)).alias("o"))
+    # what stands from a shared place on must still hold the common part that the threshold asks for
+    part = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    can = (F.col("na") - F.col("ia") >= part) & (F.col("nb") - F.col("ib") >= part)
+    met = theirs.join(mine, "g").filter((F.col("ca") != F.col("cb")) & can & (~F.col("o") | (F.col("a") < F.col("b"))))
     return met.select("a", "b").distinct()
 
 
