@@ -140,11 +140,14 @@ def full_natural_join(spark, d):
     return rel(spark, d, "part", "p_size", "p_partkey").full_join(n).as_set().df
 
 
-@query("null_safe_join", "WITH x AS (SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT s_suppkey, s_suppkey * 50 AS c_custkey FROM supplier) s USING (c_custkey) WHERE c_custkey <= 300) SELECT DISTINCT x.c_custkey, x.s_suppkey, y.c_custkey AS other FROM x JOIN x y ON x.s_suppkey IS NOT DISTINCT FROM y.s_suppkey WHERE x.c_custkey <= 40")
+@query(
+    "null_safe_join",
+    "WITH x AS (SELECT c_custkey, s_suppkey FROM customer LEFT JOIN (SELECT s_suppkey, s_suppkey * 50 AS c_custkey FROM supplier) s USING (c_custkey)), n AS (SELECT s_suppkey, count(*) AS n FROM x GROUP BY s_suppkey) SELECT DISTINCT x.c_custkey, x.s_suppkey, n.n FROM x JOIN n ON x.s_suppkey IS NOT DISTINCT FROM n.s_suppkey",
+)
 def null_safe_join(spark, d):
     s = rel(spark, d, "supplier", "s_suppkey").extend({"s_suppkey": "s_suppkey", "c_custkey": F.col("s_suppkey") * 50})
-    x = rel(spark, d, "customer", "c_custkey").select("c_custkey <= 300").left_join(s)
-    return x.select("c_custkey <= 40").natural_join(x.rename("c_custkey", "other")).as_set().df
+    x = rel(spark, d, "customer", "c_custkey").left_join(s)
+    return x.natural_join(x.aggregate(["s_suppkey"], [("n", None, "count")])).as_set().df
 
 
 @query("anti_join_negation", "SELECT DISTINCT p_partkey AS p FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
@@ -190,14 +193,14 @@ def range_join_euclid(spark, d):
     return out.df.withColumn("dist", r6("dist"))
 
 
-@query("direction_join", "WITH p AS (SELECT vec_id AS id, embedding[1] AS lo, embedding[1] + 0.01 AS hi FROM embeddings WHERE label < 3) SELECT DISTINCT a.id AS x, b.id AS y FROM p a, p b WHERE a.hi <= b.lo AND a.id < 40 AND b.id < 80")
+@query("direction_join", "SELECT DISTINCT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a, supplier b WHERE a.s_acctbal + 1 <= b.s_acctbal AND a.s_nationkey = b.s_nationkey")
 def direction_join(spark, d):
     e = Engine(spark)
     spatial.register(e.functions)
-    v = F.col("embedding")[0].cast("double")
-    box = F.struct(F.array(v, F.lit(0.0), F.lit(0.0)).alias("lb"), F.array((F.col("embedding")[0] + F.lit(0.01)).cast("double"), F.lit(1.0), F.lit(1.0)).alias("ub"), F.array().cast("array<struct<i:int,j:int,k:int>>").alias("voxels"))
-    e.add_table(spark.read.parquet(f"{d}/embeddings.parquet").filter("label < 3").select("vec_id", box), "region")
-    return e.execute("ans(x, y) :- region(x, r), region(y, q), left_of(r, q), (x < 40), (y < 80).").df
+    v = F.col("s_acctbal")
+    box = F.struct(F.array(v, F.lit(0.0), F.lit(0.0)).alias("lb"), F.array(v + 1, F.lit(1.0), F.lit(1.0)).alias("ub"), F.array().cast("array<struct<i:int,j:int,k:int>>").alias("voxels"))
+    e.add_table(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey", box), "region")
+    return e.execute("ans(x, y) :- region(x, n, r), region(y, n, q), left_of(r, q).").df
 
 
 # --- aggregation
@@ -404,9 +407,9 @@ def prob_noisy_or(spark, d):
     return _rounded(_prob_engine(spark, d).execute("ans(y, PROB(y)) :- sold(x, y)."), "PROB_y")
 
 
-@query("prob_independent_parts", f"WITH {FACT}, {SUPP}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf GROUP BY k), b AS (SELECT n, 1 - product(1 - p) AS p FROM ps GROUP BY n) SELECT k AS y, n, round(a.p * b.p, 6) AS PROB_y FROM a, b WHERE a.p * b.p > 0 AND k <= 20")
+@query("prob_independent_parts", f"WITH {FACT}, {SUPP}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf GROUP BY k), b AS (SELECT n, 1 - product(1 - p) AS p FROM ps GROUP BY n) SELECT k AS y, n, round(a.p * b.p, 6) AS PROB_y FROM a, b WHERE a.p * b.p > 0")
 def prob_independent_parts(spark, d):
-    return _rounded(_prob_engine(spark, d).execute("ans(y, n, PROB(y, n)) :- sold(x, y), active(s, n), (y <= 20)."), "PROB_y")
+    return _rounded(_prob_engine(spark, d).execute("ans(y, n, PROB(y, n)) :- sold(x, y), active(s, n)."), "PROB_y")
 
 
 @query("prob_choice_sum", f"WITH {CHOICE} SELECT c_nationkey AS n, round(sum(p), 6) AS PROB_n FROM pc JOIN customer ON c_custkey = c GROUP BY c_nationkey")
@@ -435,10 +438,10 @@ def prob_body_construct(spark, d):
     return _rounded(e.execute("ans(m, p) :- PROB[from_nation(n)] = p, nation(n, m, r), (p > 0.04)."), "p")
 
 
-@query("prob_union", f"WITH {FACT}, {SUPP}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf WHERE k <= 200 GROUP BY k), u AS (SELECT k, p FROM a UNION ALL SELECT s, p FROM ps WHERE s <= 200) SELECT k AS y, round(1 - product(1 - p), 6) AS PROB_y FROM u GROUP BY k HAVING 1 - product(1 - p) > 0")
+@query("prob_union", f"WITH {FACT}, {SUPP}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf GROUP BY k), u AS (SELECT k, p FROM a UNION ALL SELECT s, p FROM ps) SELECT k AS y, round(1 - product(1 - p), 6) AS PROB_y FROM u GROUP BY k HAVING 1 - product(1 - p) > 0")
 def prob_union(spark, d):
     e = _prob_engine(spark, d)
-    e.load("seen(y) :- sold(x, y), (y <= 200). seen(y) :- active(y, n), (y <= 200).")
+    e.load("seen(y) :- sold(x, y). seen(y) :- active(y, n).")
     return _rounded(e.execute("ans(y, PROB(y)) :- seen(y)."), "PROB_y")
 
 
@@ -451,18 +454,28 @@ def prob_negation(spark, d):
 
 @query(
     "prob_inclusion_exclusion",
-    f"WITH {FACT}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf WHERE k <= 300 GROUP BY k), b AS (SELECT k, 1 - product(1 - p) AS p FROM pf JOIN orders ON o_orderkey = o WHERE k <= 300 AND o_orderstatus = 'F' GROUP BY k) SELECT k AS y, round(p, 6) AS PROB_y FROM a WHERE p > 0",
+    f"WITH {FACT}, a AS (SELECT k, 1 - product(1 - p) AS p FROM pf GROUP BY k) SELECT k AS y, round(p * (1 - (1 - p_size / 100.0) * (1 - (p_partkey % 10) / 10.0)), 6) AS PROB_y FROM a JOIN part ON p_partkey = k WHERE p * (1 - (1 - p_size / 100.0) * (1 - (p_partkey % 10) / 10.0)) > 0",
 )
 def prob_inclusion_exclusion(spark, d):
     e = _prob_engine(spark, d)
-    e.load("hit(y) :- sold(x, y), (y <= 300). hit(y) :- sold(x, y), orders(x, c, 'F', t, da, pr), (y <= 300).")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    e.add_probabilistic_facts(part.select((F.col("p_size") / 100.0).alias("p"), "p_partkey"), "liked")
+    e.add_probabilistic_facts(part.select(((F.col("p_partkey") % 10) / 10.0).alias("p"), "p_partkey"), "stocked")
+    e.load("hit(y) :- sold(x, y), liked(y). hit(y) :- sold(x, y), stocked(y).")
     return _rounded(e.execute("ans(y, PROB(y)) :- hit(y)."), "PROB_y")
 
 
-@query("prob_self_join_lineage", f"WITH {SUPP} SELECT a.s AS x, b.s AS y, round(CASE WHEN a.s = b.s THEN a.p ELSE a.p * b.p END, 6) AS PROB_x FROM ps a, ps b WHERE a.s <= 12 AND b.s <= 12 AND a.p > 0 AND b.p > 0")
-def prob_self_join_lineage(spark, d):
+@query("prob_contained_disjunct", f"WITH {FACT} SELECT k AS y, round(1 - product(1 - p), 6) AS PROB_y FROM pf GROUP BY k HAVING 1 - product(1 - p) > 0")
+def prob_contained_disjunct(spark, d):
     e = _prob_engine(spark, d)
-    return _rounded(e.execute("ans(x, y, PROB(x, y)) :- active(x, n), active(y, m), (x <= 12), (y <= 12)."), "PROB_x")
+    e.load("hit(y) :- sold(x, y). hit(y) :- sold(x, y), sold(x, z).")
+    return _rounded(e.execute("ans(y, PROB(y)) :- hit(y)."), "PROB_y")
+
+
+@query("prob_self_join_lineage", f"WITH {SUPP} SELECT n, round(1 - product(1 - p) * (1 + sum(p / (1 - p))), 6) AS PROB_n FROM ps GROUP BY n HAVING 1 - product(1 - p) * (1 + sum(p / (1 - p))) > 1e-9")
+def prob_self_join_lineage(spark, d):
+    # at least two active suppliers: no lifted plan, so each nation's lineage is counted
+    return _rounded(_prob_engine(spark, d).execute("ans(n, PROB(n)) :- active(x, n), active(y, n), (x < y)."), "PROB_n")
 
 
 @query("prob_query_based_fact", "SELECT p_brand AS b, round(1 - product(1 - p_size / 100.0), 6) AS PROB_b FROM (SELECT DISTINCT p_partkey, p_brand, p_size FROM part) GROUP BY p_brand")
