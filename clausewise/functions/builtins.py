@@ -85,8 +85,10 @@ def python_function(fn: Callable, returns: Any = None) -> Callable[..., Column]:
     kind = spark_type(returns)
     many = isinstance(kind, T.ArrayType)
 
-    def run(*cols: pd.Series) -> pd.Series:
-        out = [fn(*row) for row in zip(*cols, strict=True)]
+    def run(*cols: pd.Series | pd.DataFrame) -> pd.Series:
+        # a struct argument comes as a frame: its rows are dicts
+        lists = [c.to_dict("records") if isinstance(c, pd.DataFrame) else c for c in cols]
+        out = [fn(*row) for row in zip(*lists, strict=True)]
         return pd.Series([list(v) if many and v is not None else v for v in out])
 
     udf = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)

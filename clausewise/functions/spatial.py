@@ -174,11 +174,15 @@ def direction_signs(a: Column, b: Column) -> Column:
 
 
 def register(functions) -> None:
-    """Make directions callable from rules."""
+    """Make directions, region aggregates and principal_direction callable from rules."""
     for name, fn in DIRECTIONS.items():
         functions.scalars[name] = fn
         if name != "overlapping":
             functions.scalars["anatomical_" + name] = anatomical(name)
+    functions.scalars |= {"region_union": region_union, "region_intersection": region_intersection, "region_difference": region_difference}
+    functions.aggregates |= {"create_region": create_region, "create_region_overlay": create_region_overlay}
+    functions.add(principal_direction, returns=bool)
+    functions.aggregates.pop("principal_direction", None)
 
 
 # --- regions
@@ -192,6 +196,35 @@ def region(voxels: Column, size: float = 1.0) -> Column:
     return F.struct(low.alias("lb"), high.alias("ub"), F.sort_array(F.array_distinct(voxels)).alias("voxels"))
 
 
+def create_region(i: Column, j: Column, k: Column) -> Column:
+    """Aggregate: the region of a group's voxels (a region's size bounds the group)."""
+    return region(F.collect_set(F.struct(i.alias("i"), j.alias("j"), k.alias("k"))))
+
+
+def create_region_overlay(i: Column, j: Column, k: Column, p: Column) -> Column:
+    """Aggregate: a group's voxels with their values, in voxel order."""
+    return F.sort_array(F.collect_set(F.struct(i.alias("i"), j.alias("j"), k.alias("k"), p.alias("p"))))
+
+
+create_region.native = True  # type: ignore[attr-defined]
+create_region_overlay.native = True  # type: ignore[attr-defined]
+
+
+def principal_direction(region_, direction: str, eps: float = 1e-6) -> bool:
+    """Whether a region's longest principal axis runs along LR, AP or SI (in either sense); no if two axes tie."""
+    import numpy as np
+
+    xyz = np.array([[v["i"], v["j"], v["k"]] for v in region_["voxels"]], float)
+    if len(xyz) < 2:
+        return False
+    values, vectors = np.linalg.eigh(np.cov(xyz.T))
+    axis = np.abs(vectors[:, int(np.argmax(np.abs(values)))])
+    order = np.argsort(axis)
+    if abs(axis[order[-1]] - axis[order[-2]]) < eps:
+        return False
+    return ("LR", "AP", "SI")[int(order[-1])] in (direction, direction[::-1])
+
+
 def regions_of(df: DataFrame, keys: list[str], i: str = "i", j: str = "j", k: str = "k") -> DataFrame:
     """One region per key from a table of voxels (a label image as rows)."""
     voxel = F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(k).alias("k"))

@@ -387,6 +387,10 @@ class Compiler:
             if not callable(fn) and fn == "count":
                 made.append((target, None, "count"))
                 continue
+            if getattr(fn, "native", False):
+                columns = [self.column(a) for a in args]
+                made.append((target, None, column_function(lambda c, fn=fn, columns=columns: fn(*columns))))
+                continue
             if callable(fn) and not getattr(fn, "column_function", False) and len(args) > 1:
                 sources = []
                 for a in args:

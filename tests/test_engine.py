@@ -412,6 +412,20 @@ def test_regions(spark):
     assert sp.overlay(vox, (7, 1, 1), None).sum() == 4
 
 
+def test_region_aggregates_in_rules(spark):
+    from clausewise.functions import spatial
+
+    s = Engine(spark)
+    spatial.register(s.functions)
+    s.add_table([("a", i, 0, 0) for i in range(4)] + [("b", 9, j, 0) for j in range(3)], "vox")
+    s.load("reg(n, create_region(i, j, k)) :- vox(n, i, j, k).")
+    assert rows(s.execute("ans(x, y) :- reg(x, r), reg(y, q), left_of(r, q).")) == {("a", "b")}
+    assert rows(s.execute("ans(x) :- reg(x, r), principal_direction(r, 'RL').")) == {("a",)}
+    assert rows(s.execute("ans(x) :- reg(x, r), principal_direction(r, 'AP').")) == {("b",)}
+    over = s.execute("ans(n, create_region_overlay(i, j, k, p)) :- vox(n, i, j, k), p == i / 2.").df.collect()
+    assert {len(r[1]) for r in over} == {4, 3}
+
+
 def test_python_front_end(spark):
     d = Dsl(Engine(spark))
     d.fact(d.R[1, 2], d.R[2, 3], d.S[3])
