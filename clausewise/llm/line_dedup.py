@@ -29,13 +29,15 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.columns import fresh
+from clausewise.llm.columns import fresh, let
 from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 6, 0.8
 #: Mean characters per word from which shingles start at every character.
 LONG_WORDS = 12
+#: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
+HASH = "shuffle_hash"
 BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -54,23 +56,30 @@ def shingles(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, pos, norm, name): every line with a word; tk tells rows of one id and different texts apart."""
-    x = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    # hashed and split first, so that exploded rows do not carry the text
+    x = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.split(F.col(text_col), "\n").alias("parts"))
+    x = x.select("id", "tk", F.posexplode("parts").alias("pos", "line"))
     x = x.filter(F.col("line").rlike(BLANK)).select("id", "tk", "pos", normal(F.col("line")).alias("norm"))
     return x.withColumn("name", F.xxhash64("norm"))
 
 
 def _texts(names: DataFrame, lines: DataFrame) -> DataFrame:
     """(name, norm) of the named lines."""
-    return names.join(lines.select("name", "norm"), "name")
+    return names.hint(HASH).join(lines.select("name", "norm"), "name")
 
 
 def _verify(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose lines' shingle sets reach the threshold. Many pairs may share their a."""
     sides = stored(_texts(pairs.select(F.col("a").alias("name")).distinct(), lines).toDF("a", "norm_a"))
     text = lines.select(F.col("name").alias("b"), F.col("norm").alias("norm_b"))
-    x = pairs.join(text, "b").join(sides, "a").select("a", "b", F.array_distinct(shingles(F.col("norm_a"))).alias("sa"), F.array_distinct(shingles(F.col("norm_b"))).alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return x.filter(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    x = pairs.hint(HASH).join(text, "b").join(sides, "a")
+    sets = F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in ("norm_a", "norm_b")])
+
+    def enough(v: Column) -> Column:
+        union_and_both = F.size(v["norm_a"]) + F.size(v["norm_b"])
+        return let(F.size(F.array_intersect(v["norm_a"], v["norm_b"])), lambda both: both >= F.lit(threshold) * (union_and_both - both))
+
+    return x.filter(let(sets, enough)).select("a", "b")
 
 
 def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -117,7 +126,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
     large = members.join(buckets.filter("lines > 2").select("bucket"), "bucket")
     # a larger bucket's leader is its line with most occurrences: others tend to be edits of it
-    large = stored(large.join(table.select("name", "n"), "name"))
+    large = stored(large.hint(HASH).join(table.select("name", "n"), "name"))
     leaders = stored(large.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
     star = large.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b"))
     pairs = buckets.filter("lines = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(star).distinct()
@@ -136,7 +145,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     old = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     final = old.unionAll(merged.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
-    marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name"), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
+    marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name").hint(HASH), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
     marked = stored(marked)
     first = marked.groupBy("component").agg(F.min("first_id").alias("comp_first"))
     out = stored(marked.join(first, "component").select("name", "component", F.col("comp_first").alias("first_id"), "n"))
@@ -148,7 +157,7 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """(id, tk, dropped): for each document that loses lines, their places (from 0) in order; tk is the text's hash."""
     similar = similar_lines(docs, threshold, id_col, text_col)
     places = _lines(docs, id_col, text_col).select("id", "tk", "pos", "name")
-    x = places.join(similar.select("name", "component", "first_id"), "name")
+    x = places.join(similar.select("name", "component", "first_id").hint(HASH), "name")
     # a document's lines of one component; positions are of one document only
     per = x.groupBy("id", "tk", "component").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first(F.col("id").eqNullSafe(F.col("first_id"))).alias("own"))
     per = per.select("id", "tk", F.when(F.col("own"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at")).alias("at")).filter(F.size("at") > 0)
