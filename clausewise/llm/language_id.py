@@ -163,7 +163,8 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_gr
 
 def _frames(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
     for lang, c in held.items():
-        yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
 
 def build(rows: pd.DataFrame, max_grams: int) -> LanguageModel:
