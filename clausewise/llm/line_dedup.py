@@ -34,7 +34,7 @@ from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 6, 0.8
-#: Mean characters per word from which shingles start at every character.
+#: Mean characters per word (white space counted) above which shingles start at every character.
 LONG_WORDS = 12
 #: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
 HASH = "shuffle_hash"
@@ -49,9 +49,8 @@ def shingles(line: Column) -> Column:
     """Shingles of a normal form, with repeats; never empty for a line with a word."""
     starts = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S+\s*"), F.lit(1))
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    spaces = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
-    long_words = F.char_length(line) > LONG_WORDS * (spaces + 1)
-    return F.when(long_words & (F.char_length(line) >= SHINGLE), every).otherwise(starts)
+    long_words = lambda s: (F.char_length(line) > LONG_WORDS * F.size(s)) & (F.char_length(line) >= SHINGLE)
+    return let(starts, lambda s: F.when(long_words(s), every).otherwise(s))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
