@@ -130,6 +130,7 @@ class ChunkEncoder:
         self.end = np.array([end_id], "<u4").tobytes()
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         self.sep_id, self.sep = next(((i, c) for i, c in special.items()), (None, ""))
+        self.odd_inside = re.compile("|".join([r"[^\S ]|\0", *map(re.escape, special.values())]))
         self.odd = re.compile("|".join([r"[\s\0]", *map(re.escape, special.values())]))
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line_id = line[0] if len(line) == 1 and self.sep_id is not None else None
@@ -143,7 +144,12 @@ class ChunkEncoder:
         """Encode new chunks, in runs with something between that gives one id of its own: a line end between words that
         follow a space, a special token between other chunks. Chunks that hold a special token's text go alone.
         """
-        odd = [k for k in keys if self.odd.search(k)]
+        plain = [k for k in keys if k[:1] != "\0" and k[:1] != "\n"]
+        joined = " ".join(plain)
+        if len(joined.split()) == len(plain) and not self.odd_inside.search(joined):
+            odd = [k for k in keys if k[:1] == "\0" or k[:1] == "\n"]
+        else:
+            odd = [k for k in keys if self.odd.search(k)]
         if odd:
             held = set(odd)
             keys = [k for k in keys if k not in held]
@@ -177,8 +183,8 @@ class ChunkEncoder:
 
         All chunks of a text that has U+0000 itself get it in front.
         """
-        # white space other than single spaces and line ends between words
-        if "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
+        # white space other than single spaces and line ends between words (none else is printable)
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "").isprintable():
             first, *rest = self.CUT.split(text)
             if "\0" in text:
                 return ["\0" + p for p in [first, *rest]]
