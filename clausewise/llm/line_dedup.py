@@ -55,9 +55,10 @@ def shingles(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, pos, norm, name): every line with a word; tk tells rows of one id and different texts apart."""
-    # hashed and split first, so that exploded rows do not carry the text
+    # hashed and split first, so that exploded rows do not carry the text; the outer form infers no filter, which would
+    # split each text twice
     x = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.split(F.col(text_col), "\n").alias("parts"))
-    x = x.select("id", "tk", F.posexplode("parts").alias("pos", "line"))
+    x = x.select("id", "tk", F.posexplode_outer("parts").alias("pos", "line"))
     x = x.filter(F.col("line").rlike(BLANK)).select("id", "tk", "pos", normal(F.col("line")).alias("norm"))
     return x.withColumn("name", F.xxhash64("norm"))
 
@@ -91,11 +92,11 @@ def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, thresh
     """
     which = stored(named.select("name", "component").distinct())
     texts = stored(_texts(which.select("name"), lines))
-    each = texts.select("name", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("g")).select("name", F.xxhash64("g").alias("g"))
+    each = texts.select("name", F.array_distinct(shingles(F.col("norm"))).alias("gs")).select("name", F.explode_outer("gs").alias("g")).select("name", F.xxhash64("g").alias("g"))
     often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
     ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.posexplode("p").alias("at", "q")).select("name", "component", "n", "at", F.col("q.g").alias("g")))
+    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.posexplode_outer("p").alias("at", "q")).select("name", "component", "n", "at", F.col("q.g").alias("g")))
     out = stored(outside.select("name").distinct())
     mine = stored(prefix.join(out, "name").select("g", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib")))
     theirs = prefix.join(out.withColumn("o", F.lit(True)), "name", "left").select("g", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.coalesce("o", F.lit(False)).alias("o"))
@@ -115,13 +116,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     distinct = lines.groupBy("name").agg(F.first("norm").alias("norm"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     base = "lines_" + uuid.uuid4().hex
     # dealt by name into buckets, so that neither the minima nor the look-ups of texts exchange it again
-    distinct.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").saveAsTable(base, format="parquet")
+    distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").saveAsTable(base, format="parquet")
     table = spark.table(base)
-    hashed = table.select("name", F.explode(shingles(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
+    # shingles first, a line at a time; exploding and minima then run as one generated loop
+    hashed = table.select("name", shingles(F.col("norm")).alias("g")).select("name", F.explode_outer("g").alias("s")).withColumn("h", F.xxhash64("s"))
     # the least of h xor a constant: of two sets it is one element with the chance of their similarity
     signed = hashed.groupBy("name").agg(*[F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}")))).alias(f"m{k}") for k in range(ROWS * BANDS)])
     bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
-    members = stored(signed.select("name", bands.alias("bands"))).select("name", F.explode("bands").alias("bucket"))
+    members = stored(signed.select("name", bands.alias("bands"))).select("name", F.explode_outer("bands").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
     large = members.join(buckets.filter("lines > 2").select("bucket"), "bucket")
     # a larger bucket's leader is its line with most occurrences: others tend to be edits of it
