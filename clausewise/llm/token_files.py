@@ -41,7 +41,7 @@ HEAD = struct.Struct("<4sHHQQQ")
 BLOCK, SHARD_IDS = 1 << 16, 1 << 22
 NULL_ID = -(2**63)
 #: Chunks of text kept with their ids between batches of a worker; longer ones are not kept.
-KEEP_CHUNKS, KEEP_CHARS = 600_000, 32
+KEEP_CHUNKS, KEEP_CHARS = 500_000, 32
 
 
 def bit_width(vocab_size: int) -> int:
@@ -126,7 +126,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.kept, self.older = Tokenizer.from_str(config), {}, {}
+        self.tok, self.kept = Tokenizer.from_str(config), {}
         self.end = np.array([end_id], "<u4").tobytes()
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
         self.sep_id, self.sep = next(((i, c) for i, c in special.items()), (None, ""))
@@ -194,14 +194,10 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self._split(t) if t else [] for t in texts]
-        if len(self.kept) > KEEP_CHUNKS // 2:
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        new = set().union(*split).difference(kept)
-        # what was met since the last turn is met again: it moves on, the rest is forgotten at the next turn
-        again = new.intersection(older)
-        kept.update((p, older[p]) for p in again)
-        new = list(new.difference(again))
+        if len(self.kept) > KEEP_CHUNKS:
+            self.kept = {}
+        kept = self.kept
+        new = list(set().union(*split).difference(kept))
         self._learn(new)
         out = [np.frombuffer(b"".join(map(kept.__getitem__, parts)) + self.end, "<u4") for parts in split]
         for p in new:
