@@ -38,7 +38,8 @@ SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 6, 0.8
 LONG_WORDS = 12
 #: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
 HASH = "shuffle_hash"
-BLANK = r"[^\x20\x09-\x0D]"
+#: White space; a line of nothing else has no word.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def normal(line: Column) -> Column:
@@ -59,7 +60,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # split each text twice
     x = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.split(F.col(text_col), "\n").alias("parts"))
     x = x.select("id", "tk", F.posexplode_outer("parts").alias("pos", "line"))
-    x = x.filter(F.col("line").rlike(BLANK)).select("id", "tk", "pos", normal(F.col("line")).alias("norm"))
+    x = x.filter(F.ltrim(F.col("line"), F.lit(SPACES)) != "").select("id", "tk", "pos", normal(F.col("line")).alias("norm"))
     return x.withColumn("name", F.xxhash64("norm"))
 
 
