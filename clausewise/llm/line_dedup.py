@@ -1,13 +1,13 @@
 """Fuzzy line deduplication by MinHash: one line is kept per component of near-equal lines.
 
 A line is a part of a text between line ends that holds a character other than white space; its normal form is trimmed
-and in lower case. Its shingles are the ``SHINGLE`` characters from each word start (fewer at the line's end); a line whose
-words are very long on average (scripts without spaces) takes those from every character. Lines link at a Jaccard similarity
-of ``threshold`` or more between shingle sets.
+and in lower case. Its shingles are the ``SHINGLE`` characters from every character on; a shorter line is its own shingle.
+Lines link at a Jaccard similarity of ``threshold`` or more between shingle sets.
 
 Steps, all DataFrame functions: lines are reduced to distinct normal forms (named by a 64-bit hash) in a table bucketed by
 name; their shingles are exploded and ROWS * BANDS minima of hashes kept by a hash aggregate without a further exchange;
-each band's minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of 99.96 %.
+each band's minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of
+99.99 %. Five minima a band keep apart lines that only share the common shingles of a language.
 Buckets are first reduced to their least and greatest line and their count. Of larger buckets, every member is
 checked against the line with most occurrences, and verified links are joined by union-find. Members that stay outside
 their bucket's largest component are compared with all lines of larger buckets by an exact prefix filter on their rarest
@@ -33,9 +33,7 @@ from clausewise.llm.columns import fresh, let
 from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
-SHINGLE, ROWS, BANDS, THRESHOLD = 10, 3, 6, 0.8
-#: Mean characters per word (white space counted) above which shingles start at every character.
-LONG_WORDS = 12
+SHINGLE, ROWS, BANDS, THRESHOLD = 5, 5, 11, 0.8
 #: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
 HASH = "shuffle_hash"
 #: White space; a line of nothing else has no word.
@@ -48,10 +46,8 @@ def normal(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """Shingles of a normal form, with repeats; never empty for a line with a word."""
-    starts = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S+\s*"), F.lit(1))
     every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    long_words = lambda s: (F.char_length(line) > LONG_WORDS * F.size(s)) & (F.char_length(line) >= SHINGLE)
-    return let(starts, lambda s: F.when(long_words(s), every).otherwise(s))
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
