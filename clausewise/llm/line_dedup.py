@@ -50,6 +50,14 @@ def shingles(line: Column) -> Column:
     return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every)
 
 
+def signatures(hashed: DataFrame) -> DataFrame:
+    """(name, bands) of a table (name, h) of shingle hashes."""
+    # hashed again with each constant, as minima of h xor constants alone would often choose the same shingle
+    signed = hashed.groupBy("name").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}"))))).alias(f"m{k}") for k in range(ROWS * BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
+    return signed.select("name", bands.alias("bands"))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tk, pos, norm, name): every line with a word; tk tells rows of one id and different texts apart."""
     # hashed and split first, so that exploded rows do not carry the text; the outer form infers no filter, which would
@@ -117,10 +125,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     table = spark.table(base)
     # shingles first, a line at a time; exploding and minima then run as one generated loop
     hashed = table.select("name", shingles(F.col("norm")).alias("g")).select("name", F.explode_outer("g").alias("s")).withColumn("h", F.xxhash64("s"))
-    # the least of h xor a constant: of two sets it is one element with the chance of their similarity
-    signed = hashed.groupBy("name").agg(*[F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}")))).alias(f"m{k}") for k in range(ROWS * BANDS)])
-    bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
-    members = stored(signed.select("name", bands.alias("bands"))).select("name", F.explode_outer("bands").alias("bucket"))
+    members = stored(signatures(hashed)).select("name", F.explode_outer("bands").alias("bucket"))
     buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
     large = members.join(buckets.filter("lines > 2").select("bucket"), "bucket")
     # a larger bucket's leader is its line with most occurrences: others tend to be edits of it
