@@ -362,6 +362,48 @@ def recursion_then_aggregate(spark, d):
     return e.execute("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), edge(z, y). ans(x, count(y)) :- tc(x, y).").df
 
 
+#: A forest over all parts: each 100 successive keys are one tree, in which a place's parent is (place - 1) div 3.
+FOREST = "forest AS (SELECT DISTINCT p_partkey AS a, p_partkey - p_partkey % 100 + (p_partkey % 100 - 1) // 3 AS b FROM part WHERE p_partkey % 100 > 0)"
+FOREST_TC = f"WITH RECURSIVE {FOREST}, tc AS (SELECT a, b FROM forest UNION SELECT tc.a, e.b FROM tc JOIN forest e ON tc.b = e.a)"
+
+
+def _forest(spark: SparkSession, d: str) -> Engine:
+    k = F.col("p_partkey")
+    place = k % 100
+    parts = spark.read.parquet(f"{d}/part.parquet").filter(place > 0)
+    e = Engine(spark)
+    e.add_table(parts.select(k.alias("a"), (k - place + F.floor((place - 1) / 3)).cast("long").alias("b")).distinct(), "edge", distinct=True)
+    return e
+
+
+@query("recursion_forest_closure", f"{FOREST_TC} SELECT a AS x, b AS y FROM tc")
+def recursion_forest_closure(spark, d):
+    return _forest(spark, d).execute("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), edge(z, y). ans(x, y) :- tc(x, y).").df
+
+
+@query("recursion_forest_nonlinear", f"{FOREST_TC} SELECT a AS x, b AS y FROM tc")
+def recursion_forest_nonlinear(spark, d):
+    return _forest(spark, d).execute("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), tc(z, y). ans(x, y) :- tc(x, y).").df
+
+
+@query("recursion_forest_bound", f"{FOREST_TC} SELECT b AS y FROM tc WHERE a = 199")
+def recursion_forest_bound(spark, d):
+    return _forest(spark, d).execute("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), edge(z, y). ans(y) :- tc(199, y).").df
+
+
+@query(
+    "recursion_forest_same_generation",
+    f"WITH RECURSIVE {FOREST}, sg AS (SELECT l.a AS x, r.a AS y FROM forest l JOIN forest r ON l.b = r.b UNION SELECT l.a, r.a FROM sg JOIN forest l ON l.b = sg.x JOIN forest r ON r.b = sg.y) SELECT x, y FROM sg",
+)
+def recursion_forest_same_generation(spark, d):
+    return _forest(spark, d).execute("sg(x, y) :- edge(x, p), edge(y, p). sg(x, y) :- edge(x, a), sg(a, b), edge(y, b). ans(x, y) :- sg(x, y).").df
+
+
+@query("recursion_forest_then_aggregate", f"{FOREST_TC} SELECT a AS x, count(*) AS count_y FROM tc GROUP BY a")
+def recursion_forest_then_aggregate(spark, d):
+    return _forest(spark, d).execute("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), edge(z, y). ans(x, count(y)) :- tc(x, y).").df
+
+
 @query("ontology_constraints", "SELECT DISTINCT s_suppkey AS x FROM supplier UNION SELECT c_custkey FROM customer")
 def ontology_constraints(spark, d):
     e = Engine(spark)

@@ -45,3 +45,13 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 26
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and len(names) >= len(QUERIES)
+
+
+def test_recursion_covers_all_parts(spark, db):
+    """The forest queries reach every part, and same_generation derives pairs by its recursive rule."""
+    (edges,) = db.execute("select count(distinct p_partkey) from part where p_partkey % 100 > 0").fetchone()
+    assert edges > 40
+    assert QUERIES["recursion_forest_closure"](spark, SF).select("x").distinct().count() == edges
+    pairs = QUERIES["recursion_forest_same_generation"](spark, SF)
+    siblings = "x - x % 100 + (x % 100 - 1) div 3 = y - y % 100 + (y % 100 - 1) div 3"
+    assert pairs.filter(f"not ({siblings})").count() > 0
