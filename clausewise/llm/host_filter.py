@@ -17,6 +17,8 @@ empty table. Extra columns never matter. At most ``MAX_RULES`` rules (an error s
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,23 +61,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", url_host(full).alias("dst")).filter((F.col("dst") != "") & (F.col("dst") != F.col("src"))).distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """Unnormalised personalised PageRank: (kind, host, score), in units of a seed of weight 1 without links.
 
-    edges: (kind, src, dst, share) with shares of a source's out-edges; seeds: (kind, host, weight). Stops when no score
-    changes by more than the tolerance or after so many rounds.
+    edges: (kind, src, dst, share) with shares of a source's out-edges; seeds: (kind, host, weight). Stops when all
+    that is still to be moved adds up to less than the tolerance.
     """
     score = seeds.select("kind", "host", F.col("weight").alias("score"))
     moved = score
-    for k in range(rounds):
+    for k in count():
         # only what changed moves on: the sum of all moves is the stationary score
         step = moved.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * damping).alias("score"))
         moved = cut(step)
-        top = moved.agg(F.max("score")).first()[0]
-        if top is None:
+        mass = moved.agg(F.sum("score")).first()[0]
+        if mass is None:
             break
         score = score.unionAll(moved)
-        if top < tolerance:
+        # each further round moves damping times the last one's sum at most
+        if mass * damping / (1 - damping) < tolerance:
             break
         if k % 5 == 4:
             score = cut(score.groupBy("kind", "host").agg(F.sum("score").alias("score")))

@@ -762,6 +762,15 @@ def test_trust_and_distrust_spread(spark):
     assert got["far.org"]["verdict"] == "allow" and got["friend.org"]["distrust"] == 0
 
 
+def test_distrust_circulates_to_its_end(spark):
+    """On a cycle of two hosts the scores are geometric series."""
+    from clausewise.llm.host_filter import judge_urls
+
+    pages = [(0, "http://bad.net/", '<a href="http://back.org/">x</a>'), (1, "http://back.org/", '<a href="http://bad.net/">x</a>')]
+    got = {r["host"]: r["distrust"] for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got["bad.net"] == pytest.approx(1 / (1 - 0.85**2), abs=2e-4) and got["back.org"] == pytest.approx(0.85 / (1 - 0.85**2), abs=2e-4)
+
+
 # --- pipeline
 
 
