@@ -56,6 +56,7 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0/sentence": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+TEMPLATES |= {f"{name}-3.0/header": TEMPLATES["GPL-3.0/header"].replace("GNU General", f"GNU {word} General") for name, word in (("AGPL", "Affero"), ("LGPL", "Lesser"))}
 
 
 def normalise(text: str) -> list[str]:

@@ -258,6 +258,14 @@ def test_licenses_find_every_template_and_spans():
     assert s.scan(edited)[0][0] == "MIT/text" and 0.8 < s.scan(edited)[0][1] < 1
 
 
+@pytest.mark.parametrize("name, word", [("AGPL-3.0", "Affero"), ("LGPL-3.0", "Lesser")])
+def test_license_headers_of_the_gnu_family(name, word):
+    from clausewise.llm.license_scan import TEMPLATES, Scanner
+
+    header = TEMPLATES["GPL-3.0/header"].replace("GNU General", f"GNU {word} General")
+    assert Scanner().scan(header)[0][:2] == (f"{name}/header", 1.0)
+
+
 def test_license_scan_against_brute_force():
     from clausewise.llm.license_scan import Scanner, normalise
 
