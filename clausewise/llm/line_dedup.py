@@ -4,28 +4,34 @@ A line is a part of a text between line ends that holds a character other than w
 and in lower case. Its shingles are the ``SHINGLE`` characters from every character on; a shorter line is its own shingle.
 Lines link at a Jaccard similarity of ``threshold`` or more between shingle sets.
 
-Steps, all DataFrame functions: lines are reduced to distinct normal forms (named by a 64-bit hash) in a table bucketed by
-name; their shingles are exploded and ROWS * BANDS minima of hashes kept by a hash aggregate without a further exchange;
-each band's minima are hashed to a bucket. A similarity of 0.8 meets in some bucket with a chance of 98.7 % and one of 0.9 of
-99.99 %. Five minima a band keep apart lines that only share the common shingles of a language.
-Buckets are first reduced to their least and greatest line and their count. Of larger buckets, every member is
-checked against the line with most occurrences, and verified links are joined by union-find. Members that stay outside
-their bucket's largest component are compared with all lines of larger buckets by an exact prefix filter on their rarest
-shingles. So a bucket of n near-equal lines costs about n checks, not n * n, and no candidate link between components is
-left out. Verification computes the exact Jaccard similarity of the shingle sets.
+Steps, all DataFrame functions:
+
+1. Lines are reduced to distinct normal forms, named by a 64-bit hash. Their characters are taken as fixed-width code
+   points, so that a shingle is a slice of bytes; shingles are exploded and hashed in generated code, and ROWS * COLUMNS
+   minima kept by a hash aggregate without a further exchange. One hash gives two minima, from either half of its bits.
+2. Bands of ROWS minima are hashed to buckets. A band takes one minimum of each of ROWS groups of COLUMNS, along a line
+   of slope 0, 1 or 2 modulo the prime COLUMNS, so two bands share one minimum at most: BANDS = 21 bands need 42 minima in
+   place of 126. A similarity of 0.8 meets in some bucket with a chance of 98.7 %, one of 0.85 with 99.8 %. Six minima a
+   band keep apart lines that only share the common shingles of a language.
+3. Buckets of one line are told by counting. Of other buckets, each member is checked against the line with most
+   occurrences, exactly.
+4. The exact rest: pairs of a bucket without its leader. Jaccard distance is a metric, so two members can only link if
+   their distances to the leader differ by 1 - threshold at most; and linked members join through the leader already, so
+   one of the two is not linked to it. Members within that reach meet by a prefix filter: two sets can only reach the
+   threshold if they share one of their rarest shingles, at places late enough in neither order. No candidate of a bucket
+   is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+5. Verified links are joined by a distributed union-find.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
 are dropped; lines without a word always stay.
 
 Defined results: a null or empty text has no lines to drop. Rows with equal id and text count as one document and get
 equal results; a null id counts as later than all others. An empty table gives an empty table. Extra columns never matter.
-With N distinct lines, two different ones share a name with a chance of N / 2**64 each.
+With N distinct lines, two different ones share a name with a chance of N / 2**64 each; shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,29 +39,56 @@ from clausewise.llm.columns import fresh, let
 from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
-SHINGLE, ROWS, BANDS, THRESHOLD = 5, 5, 11, 0.8
+SHINGLE, ROWS, COLUMNS, BANDS, THRESHOLD = 5, 6, 7, 21, 0.8
+#: Rows of a component are dealt to this many cells where they meet its first document.
+CELLS = 16
 #: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
 HASH = "shuffle_hash"
 #: White space; a line of nothing else has no word.
 SPACES = " \t\n\x0b\x0c\r"
+LOW = (1 << 32) - 1
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def _last(points: Column) -> Column:
+    """Place of the last shingle in a line's code points (4 bytes each); 0 for a line of one shingle."""
+    return F.greatest(F.floor(F.length(points) / 4).cast("int") - SHINGLE, F.lit(0))
+
+
+def _shingle(points: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * SHINGLE)))
+
+
 def shingles(line: Column) -> Column:
-    """Shingles of a normal form, with repeats; never empty for a line with a word."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(every)
+    """The set of a normal form's shingles, as hashes; never empty for a line with a word."""
+    return let(F.encode(line, "UTF-32"), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(p)), lambda i: _shingle(p, i))))
+
+
+def exploded(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., h): a row for each shingle of norm, with repeats."""
+    x = lines.select(*keep, F.encode("norm", "UTF-32").alias("points"))
+    x = x.select(*keep, "points", F.explode(F.sequence(F.lit(0), _last(F.col("points")))).alias("i"))
+    return x.select(*keep, _shingle(F.col("points"), F.col("i")).alias("h"))
 
 
-def signatures(hashed: DataFrame) -> DataFrame:
-    """(name, bands) of a table (name, h) of shingle hashes."""
-    # hashed again with each constant, as minima of h xor constants alone would often choose the same shingle
-    signed = hashed.groupBy("name").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}"))))).alias(f"m{k}") for k in range(ROWS * BANDS)])
-    bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{k * ROWS + i}") for i in range(ROWS)]) for k in range(BANDS)])
-    return signed.select("name", bands.alias("bands"))
+def band_members() -> list[list[int]]:
+    """The minima of each band: of group g, the place slope * g + shift modulo COLUMNS."""
+    return [[g * COLUMNS + (band // COLUMNS * g + band) % COLUMNS for g in range(ROWS)] for band in range(BANDS)]
+
+
+def signatures(hashed: DataFrame, *keep: str) -> DataFrame:
+    """(name, keep..., bands) of a table (name, keep..., h) of shingle hashes; keep holds numbers that go by name."""
+    minima = []
+    for k in range((ROWS * COLUMNS + 1) // 2):
+        # hashed again with each constant, as minima of h xor constants alone would often choose the same shingle
+        v = F.xxhash64(F.col("h").bitwiseXOR(F.xxhash64(F.lit(f"m{k}"))))
+        minima += [F.min(v.bitwiseAND(F.lit(LOW))).alias(f"m{2 * k}"), F.min(F.shiftrightunsigned(v, 32)).alias(f"m{2 * k + 1}")]
+    signed = hashed.groupBy("name").agg(*minima, *[F.min(c).alias(c) for c in keep])
+    bands = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in members]) for k, members in enumerate(band_members())])
+    return signed.select("name", *keep, bands.alias("bands"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,92 +101,82 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _texts(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """(name, norm) of the named lines."""
-    return names.hint(HASH).join(lines.select("name", "norm"), "name")
-
-
-def _verify(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines' shingle sets reach the threshold. Many pairs may share their a."""
-    sides = stored(_texts(pairs.select(F.col("a").alias("name")).distinct(), lines).toDF("a", "norm_a"))
-    text = lines.select(F.col("name").alias("b"), F.col("norm").alias("norm_b"))
-    x = pairs.hint(HASH).join(text, "b").join(sides, "a")
-    sets = F.struct(*[F.array_distinct(shingles(F.col(c))).alias(c) for c in ("norm_a", "norm_b")])
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, j) of pairs (a, b): the Jaccard similarity of the two lines. Many pairs may share their a."""
+    x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
+    sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
 
-    def enough(v: Column) -> Column:
-        union_and_both = F.size(v["norm_a"]) + F.size(v["norm_b"])
-        return let(F.size(F.array_intersect(v["norm_a"], v["norm_b"])), lambda both: both >= F.lit(threshold) * (union_and_both - both))
+    def likeness(v: Column) -> Column:
+        return let(F.size(F.array_intersect(v["norm_a"], v["norm_b"])), lambda both: both / (F.size(v["norm_a"]) + F.size(v["norm_b"]) - both))
 
-    return x.filter(let(sets, enough)).select("a", "b")
+    return x.select("a", "b", let(sets, likeness).alias("j"))
 
 
-def _prefix_pairs(outside: DataFrame, named: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) between outside members and lines of other components: those that can reach the threshold.
-
-    Two sets can only reach it if they share one of their rarest shingles, the first n - ceil(threshold * n) + 1 of n in
-    an order by frequency, at places late enough in neither order to leave room for the common part. A line that owes its
-    place outside to many edits has rare shingles of its own in front, so it meets few others, and no pair that could
-    link is left out.
-    """
-    which = stored(named.select("name", "component").distinct())
-    texts = stored(_texts(which.select("name"), lines))
-    each = texts.select("name", F.array_distinct(shingles(F.col("norm"))).alias("gs")).select("name", F.explode_outer("gs").alias("g")).select("name", F.xxhash64("g").alias("g"))
+def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) of rest (bucket, name, out): members of one bucket, one of them out, that can reach the
+    threshold by a prefix filter in an order by frequency."""
+    names = stored(rest.select("name").distinct())
+    norms = texts.join(names, "name")
+    each = norms.select("name", F.explode(shingles(F.col("norm"))).alias("g"))
     often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
     ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = stored(ranked.select("name", "n", F.slice("order", 1, length).alias("p")).join(which, "name").select("name", "component", "n", F.posexplode_outer("p").alias("at", "q")).select("name", "component", "n", "at", F.col("q.g").alias("g")))
-    out = stored(outside.select("name").distinct())
-    mine = stored(prefix.join(out, "name").select("g", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib")))
-    theirs = prefix.join(out.withColumn("o", F.lit(True)), "name", "left").select("g", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.coalesce("o", F.lit(False)).alias("o"))
+    prefix = stored(ranked.select("name", "n", F.transform(F.slice("order", 1, length), lambda x: x["g"]).alias("p")))
+    placed = stored(rest.join(prefix, "name").select("bucket", "out", "name", "n", F.posexplode("p").alias("at", "g")))
+    mine = placed.filter("out").select("bucket", "g", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    theirs = placed.select("bucket", "g", F.col("name").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("out").alias("o"))
     # what stands from a shared place on must still hold the common part that the threshold asks for
     part = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
     can = (F.col("na") - F.col("ia") >= part) & (F.col("nb") - F.col("ib") >= part)
-    met = theirs.join(mine, "g").filter((F.col("ca") != F.col("cb")) & can & (~F.col("o") | (F.col("a") < F.col("b"))))
+    met = theirs.join(mine, ["bucket", "g"]).filter((F.col("a") != F.col("b")) & can & (~F.col("o") | (F.col("a") < F.col("b"))))
     return met.select("a", "b").distinct()
 
 
+def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) of members (name, n, bucket), a row for each line and band."""
+    # counted by bucket alone: most buckets hold one line
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("bucket"))
+    met = stored(members.join(shared, "bucket"))
+    # a bucket's leader is its line with most occurrences: others tend to be edits of it
+    leaders = stored(met.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
+    star = stored(met.join(leaders, "bucket").filter("name != leader").select("bucket", F.col("leader").alias("a"), F.col("name").alias("b")))
+    pairs = stored(star.select("a", "b").distinct())
+    names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
+    texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
+    scored = stored(_scored(pairs, texts))
+    links = scored.filter(F.col("j") >= threshold).select("a", "b")
+
+    far = F.col("j") < threshold
+    placed = star.join(scored, ["a", "b"]).select("bucket", F.col("b").alias("name"), far.alias("out"), "j")
+    reach = placed.groupBy("bucket").agg(F.min(F.when(F.col("out"), F.col("j"))).alias("lo"), F.max(F.when(F.col("out"), F.col("j"))).alias("hi"), F.count(F.lit(1)).alias("k"))
+    reach = stored(reach.filter("lo IS NOT NULL AND k > 1").select("bucket", "lo", "hi"))
+    slack = 1 - threshold + 1e-9
+    rest = stored(placed.join(reach, "bucket").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("bucket", "name", "out"))
+    if rest.isEmpty():
+        return links
+    known = scored.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    more = stored(_rest_pairs(rest, texts, threshold))
+    more = more.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    return links.unionAll(_scored(more, texts).filter(F.col("j") >= threshold).select("a", "b"))
+
+
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(name, component, first_id, n): lines that occur more than once or link to others, with their component, its
     first document and the line's occurrences."""
     lines = _lines(docs, id_col, text_col)
-    spark = docs.sparkSession
-    # the one exchange of text: each distinct line of a task
+    # the one exchange of all text: each distinct line of a task; minima follow in the same tasks
     distinct = lines.groupBy("name").agg(F.first("norm").alias("norm"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    base = "lines_" + uuid.uuid4().hex
-    # dealt by name into buckets, so that neither the minima nor the look-ups of texts exchange it again
-    distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "name").saveAsTable(base, format="parquet")
-    table = spark.table(base)
-    # shingles first, a line at a time; exploding and minima then run as one generated loop
-    hashed = table.select("name", shingles(F.col("norm")).alias("g")).select("name", F.explode_outer("g").alias("s")).withColumn("h", F.xxhash64("s"))
-    members = stored(signatures(hashed)).select("name", F.explode_outer("bands").alias("bucket"))
-    buckets = stored(members.groupBy("bucket").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("lines")).filter("low != high"))
-    large = members.join(buckets.filter("lines > 2").select("bucket"), "bucket")
-    # a larger bucket's leader is its line with most occurrences: others tend to be edits of it
-    large = stored(large.hint(HASH).join(table.select("name", "n"), "name"))
-    leaders = stored(large.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
-    star = large.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b"))
-    pairs = buckets.filter("lines = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionAll(star).distinct()
-    links = stored(_verify(stored(pairs), table, threshold))
-    found = stored(connected_components(links))
-
-    named = stored(large.join(found.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("component", "name").alias("component")))
-    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = stored(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
-    outside = stored(named.join(main, "bucket").filter("component != main").select("name"))
-    more = _verify(stored(_prefix_pairs(outside, named, table, threshold)), table, threshold)
-    # later links join components that exist already
-    a, b = (F.coalesce(F.col(c), F.col(d)) for c, d in (("ca", "a"), ("cb", "b")))
-    joined = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left").select(a.alias("a"), b.alias("b"))
-    merged = stored(connected_components(joined).toDF("component", "whole"))
-    old = found.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    final = old.unionAll(merged.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
-
-    marked = table.select("name", "first_id", "n").join(final.withColumnRenamed("node", "name").hint(HASH), "name", "left").filter("n > 1 OR component IS NOT NULL").select("name", "first_id", "n", F.coalesce("component", "name").alias("component"))
-    marked = stored(marked)
-    first = marked.groupBy("component").agg(F.min("first_id").alias("comp_first"))
-    out = stored(marked.join(first, "component").select("name", "component", F.col("comp_first").alias("first_id"), "n"))
-    spark.sql(f"DROP TABLE {base}")
-    return out
+    table = stored(signatures(exploded(distinct, "name", "first_id", "n"), "first_id", "n"))
+    members = table.select("name", "n", F.explode("bands").alias("bucket"))
+    found = stored(connected_components(_links(members, lines, threshold)).withColumnRenamed("node", "name"))
+    marked = table.select("name", "first_id", "n").join(found.hint(HASH), "name", "left").filter("n > 1 OR component IS NOT NULL")
+    marked = stored(marked.select("name", "first_id", "n", "component"))
+    alone = marked.filter("component IS NULL").select("name", F.col("name").alias("component"), "first_id", "n")
+    linked = marked.filter("component IS NOT NULL")
+    # a large component is dealt to cells, each with the component's first document
+    first = linked.groupBy("component").agg(F.min("first_id").alias("comp_first")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    dealt = linked.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(CELLS)).cast("int"))
+    return stored(alone.unionAll(dealt.join(first, ["component", "cell"]).select("name", "component", F.col("comp_first").alias("first_id"), "n")))
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -363,9 +363,7 @@ def test_quality_labels(spark):
 
 
 def shingles_reference(line):
-    if len(line) > 12 * len(line.split()) and len(line) >= 10:
-        return {line[i : i + 10] for i in range(len(line) - 9)}
-    return {line[m.start() : m.start() + 10] for m in re.finditer(r"\S+", line)}
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
 
 
 def lines_reference(rows, threshold=0.8):
@@ -501,6 +499,37 @@ def test_line_signatures_meet_as_independent_ones(spark):
     assert 0.984 <= recall <= 0.99
 
 
+def test_line_bands_share_one_minimum():
+    from clausewise.llm.line_dedup import BANDS, COLUMNS, ROWS, band_members
+
+    bands = [set(b) for b in band_members()]
+    assert len(bands) == BANDS and all(len(b) == ROWS and max(b) < ROWS * COLUMNS for b in bands)
+    assert all(len(a & b) <= 1 for i, a in enumerate(bands) for b in bands[:i])
+
+
+def test_line_rest_pairs_lose_no_link(spark, monkeypatch):
+    """One bucket of all lines: with the leader's links, the prefix filter's candidates hold every other link."""
+    from clausewise.llm import line_dedup
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(6)]
+    names = set(base)
+    for _ in range(120):
+        t = list(rng.choice(sorted(names)))
+        for _ in range(rng.randrange(1, 4)):
+            t[rng.randrange(len(t))] = rng.choice("uvwxyz")
+        names.add("".join(t).strip())
+    names = sorted(names)
+    lines = spark.createDataFrame([(k, t) for k, t in enumerate(names)], "name long, norm string")
+    members = lines.selectExpr("name", "if(name = 5, 9L, 1L) AS n", "1L AS bucket")
+    got = {frozenset(r) for r in line_dedup._links(members, lines, 0.8).collect()}
+    sets = [shingles_reference(t) for t in names]
+    links = [(a, b) for a in range(len(names)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    leader = {x for p in links if 5 in p for x in p}
+    want = {frozenset(p) for p in links if 5 in p or not set(p) <= leader}
+    assert len(want) > 40 and want <= got <= {frozenset(p) for p in links}
+
+
 def test_line_dedup_edges(spark, edge, empty):
     from clausewise.llm.line_dedup import dedup_lines, line_report
 
