@@ -15,11 +15,11 @@ Steps, all DataFrame functions:
    band keep apart lines that only share the common shingles of a language.
 3. Buckets of one line are told by counting. Of other buckets, each member is checked against the line with most
    occurrences, exactly.
-4. The exact rest: pairs of a bucket without its leader. Jaccard distance is a metric, so two members can only link if
-   their distances to the leader differ by 1 - threshold at most; and linked members join through the leader already, so
-   one of the two is not linked to it. Members within that reach meet by a prefix filter: two sets can only reach the
-   threshold if they share one of their rarest shingles, at places late enough in neither order. No candidate of a bucket
-   is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+4. The exact rest: pairs of a bucket without its leader. Members that link to the leader are joined through it, so one of
+   the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
+   their common part is bounded by what each shares with the leader and what each has besides. Lines that can still reach
+   the threshold meet by a prefix filter: they must share one of their rarest shingles, at places late enough in neither
+   order. No candidate of a bucket is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
 5. Verified links are joined by a distributed union-find.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
@@ -102,34 +102,39 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, j) of pairs (a, b): the Jaccard similarity of the two lines. Many pairs may share their a."""
+    """(a, b, na, nb, both) of pairs (a, b): the sizes of the two lines' sets and of their common part. Many pairs may
+    share their a."""
     x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
     sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
+    sizes = let(sets, lambda v: F.struct(F.size(v["norm_a"]).alias("na"), F.size(v["norm_b"]).alias("nb"), F.size(F.array_intersect(v["norm_a"], v["norm_b"])).alias("both")))
+    return x.select("a", "b", sizes.alias("s")).select("a", "b", "s.*")
 
-    def likeness(v: Column) -> Column:
-        return let(F.size(F.array_intersect(v["norm_a"], v["norm_b"])), lambda both: both / (F.size(v["norm_a"]) + F.size(v["norm_b"]) - both))
 
-    return x.select("a", "b", let(sets, likeness).alias("j"))
+def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
+    """Whether a common part of this size makes the similarity reach the threshold."""
+    return both >= F.lit(threshold) * (na + nb - both) - 1e-9
 
 
 def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rest (bucket, name, out): members of one bucket, one of them out, that can reach the
-    threshold by a prefix filter in an order by frequency."""
+    """Candidate pairs (a, b) of rest (leader, name, out, n, both): two lines checked against one leader, one of them out,
+    that can reach the threshold by their common parts with the leader and by a prefix filter in an order by frequency."""
     names = stored(rest.select("name").distinct())
-    norms = texts.join(names, "name")
-    each = norms.select("name", F.explode(shingles(F.col("norm"))).alias("g"))
+    each = texts.join(names, "name").select("name", F.explode(shingles(F.col("norm"))).alias("g"))
     often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
-    ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order")).withColumn("n", F.size("order"))
-    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = stored(ranked.select("name", "n", F.transform(F.slice("order", 1, length), lambda x: x["g"]).alias("p")))
-    placed = stored(rest.join(prefix, "name").select("bucket", "out", "name", "n", F.posexplode("p").alias("at", "g")))
-    mine = placed.filter("out").select("bucket", "g", F.col("name").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    theirs = placed.select("bucket", "g", F.col("name").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("out").alias("o"))
+    ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order"))
+    size = F.size("order")
+    length = (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int")
+    prefix = stored(ranked.select("name", F.transform(F.slice("order", 1, length), lambda x: x["g"]).alias("p")))
+    placed = stored(rest.join(prefix, "name").select("leader", "out", "name", "n", "both", F.posexplode("p").alias("at", "g")))
+    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "n", "both", "at", "out")]
+    mine, theirs = placed.filter("out").select("leader", "g", *side("1")), placed.select("leader", "g", *side("2"))
     # what stands from a shared place on must still hold the common part that the threshold asks for
-    part = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
-    can = (F.col("na") - F.col("ia") >= part) & (F.col("nb") - F.col("ib") >= part)
-    met = theirs.join(mine, ["bucket", "g"]).filter((F.col("a") != F.col("b")) & can & (~F.col("o") | (F.col("a") < F.col("b"))))
-    return met.select("a", "b").distinct()
+    need = threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
+    late = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
+    # the common part lies in the leader's set or out of it
+    most = F.least("both1", "both2") + F.least(F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2"))
+    met = theirs.join(mine, ["leader", "g"]).filter((F.col("name1") != F.col("name2")) & late & (most >= need) & (~F.col("out2") | (F.col("name1") < F.col("name2"))))
+    return met.select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
 
 
 def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -139,25 +144,24 @@ def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     met = stored(members.join(shared, "bucket"))
     # a bucket's leader is its line with most occurrences: others tend to be edits of it
     leaders = stored(met.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
-    star = stored(met.join(leaders, "bucket").filter("name != leader").select("bucket", F.col("leader").alias("a"), F.col("name").alias("b")))
-    pairs = stored(star.select("a", "b").distinct())
+    pairs = stored(met.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct())
     names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
     scored = stored(_scored(pairs, texts))
-    links = scored.filter(F.col("j") >= threshold).select("a", "b")
+    near = _reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)
+    links = scored.filter(near).select("a", "b")
 
-    far = F.col("j") < threshold
-    placed = star.join(scored, ["a", "b"]).select("bucket", F.col("b").alias("name"), far.alias("out"), "j")
-    reach = placed.groupBy("bucket").agg(F.min(F.when(F.col("out"), F.col("j"))).alias("lo"), F.max(F.when(F.col("out"), F.col("j"))).alias("hi"), F.count(F.lit(1)).alias("k"))
-    reach = stored(reach.filter("lo IS NOT NULL AND k > 1").select("bucket", "lo", "hi"))
+    # members of all buckets of one leader are held against each other, which no bucket's pairs miss
+    placed = scored.select(F.col("a").alias("leader"), F.col("b").alias("name"), (~near).alias("out"), F.col("nb").alias("n"), "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+    far = F.when(F.col("out"), F.col("j"))
+    reach = stored(placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo IS NOT NULL AND k > 1").select("leader", "lo", "hi"))
     slack = 1 - threshold + 1e-9
-    rest = stored(placed.join(reach, "bucket").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("bucket", "name", "out"))
+    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("leader", "name", "out", "n", "both"))
     if rest.isEmpty():
         return links
-    known = scored.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    more = stored(_rest_pairs(rest, texts, threshold))
-    more = more.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    return links.unionAll(_scored(more, texts).filter(F.col("j") >= threshold).select("a", "b"))
+    known = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(_rest_pairs(rest, texts, threshold).join(known, ["a", "b"], "left_anti"))
+    return links.unionAll(_scored(more, texts).filter(near).select("a", "b"))
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
