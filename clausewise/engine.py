@@ -72,6 +72,7 @@ class Engine:
         self.memo: dict[str, Relation] = {}
         self.explained: list[str] = []
         self.commands: dict[str, Callable] = {}
+        self.waiting: dict[str, tuple[str, list[tuple]]] = {}
         from clausewise.sources import commands
 
         commands.register(self)
@@ -211,11 +212,9 @@ class Engine:
         name = rule.head.pred
         if name in PROTECTED:
             raise ProgramError(f"{name} is a word of the language")
-        if rule.kind != "det" and rule.body == Truth(True):
-            self._ground_weighted(rule)
-            return
-        if rule.body == Truth(True) and rule.given is None:
-            self._ground_fact(rule.head)
+        if rule.body == Truth(True) and (rule.kind != "det" or rule.given is None):
+            self._ground(rule)
+            self._flush()
             return
         if name in self.tables:
             raise ProgramError(f"{name} is a stored relation and cannot be defined by a rule")
@@ -241,32 +240,38 @@ class Engine:
             out.append(a.value)
         return tuple(out)
 
-    def _ground_fact(self, atom: Atom) -> None:
-        if atom.pred in self.rules:
-            raise ProgramError(f"{atom.pred} is defined by rules")
-        values = self._values(atom)
-        row = Relation(self.spark.createDataFrame([values], [f"_{i}" for i in range(len(values))]), True) if values else Relation.true(self.spark)
-        old = self.tables.get(atom.pred)
-        if old is not None:
-            if self.kinds[atom.pred] != "det" or old.arity != len(values):
-                raise ProgramError(f"{atom.pred} is another kind of relation")
-            row = Relation(old.df.unionAll(row.df)) if values else row
-        self.tables[atom.pred], self.kinds[atom.pred] = row, "det"
-        self.memo.clear()
-
-    def _ground_weighted(self, rule: Rule) -> None:
-        weight = self.compiler().expand(rule.weight)
-        if isinstance(weight, Call):
-            weight = Const(float(self.spark.range(1).select(self.compiler().column(weight)).first()[0]))
-        values = (float(weight.value), *self._values(rule.head))
-        name = rule.head.pred
-        row = self.spark.createDataFrame([values], [P, *[f"_{i}" for i in range(len(values) - 1)]])
-        if name in self.tables:
-            if self.kinds[name] != rule.kind:
-                raise ProgramError(f"{name} is another kind of relation")
-            row = self.tables[name].df.unionAll(row)
-        self.tables[name], self.kinds[name] = Relation(row), rule.kind
-        self.memo.clear()
+    def _ground(self, rule: Rule) -> None:
+        """Hold a ground fact back until ``_flush`` stores all of its predicate at once."""
+        name, values = rule.head.pred, self._values(rule.head)
+        if name in self.rules:
+            raise ProgramError(f"{name} is defined by rules")
+        if rule.kind != "det":
+            weight = self.compiler().expand(rule.weight)
+            if isinstance(weight, Call):
+                weight = Const(float(self.spark.range(1).select(self.compiler().column(weight)).first()[0]))
+            values = (float(weight.value), *values)
+        kind, rows = self.waiting.setdefault(name, (rule.kind, []))
+        if kind != rule.kind or self.kinds.get(name, kind) != kind or (rows and len(rows[0]) != len(values)) or (name in self.tables and self.tables[name].arity != len(values)):
+            raise ProgramError(f"{name} is another kind of relation")
+        rows.append(values)
+
+    def _flush(self) -> None:
+        """Store the ground facts read so far: one frame for each predicate and types of its values."""
+        for name, (kind, rows) in self.waiting.items():
+            if not rows[0]:
+                self.tables[name], self.kinds[name] = Relation.true(self.spark), kind
+                continue
+            of_types: dict[tuple, list[tuple]] = {}
+            for r in rows:
+                of_types.setdefault(tuple(map(type, r)), []).append(r)
+            df = self.tables[name].df if name in self.tables else None
+            for same in of_types.values():
+                some = self.spark.createDataFrame(same, [f"_{i}" for i in range(len(same[0]))] if kind == "det" else [P, *[f"_{i}" for i in range(len(same[0]) - 1)]])
+                df = some if df is None else df.unionAll(some)
+            self.tables[name], self.kinds[name] = Relation(df), kind
+        if self.waiting:
+            self.waiting = {}
+            self.memo.clear()
 
     def load(self, program: Program | str) -> list[Rule]:
         """Add a program's statements; returns its queries (rules for ``ans``)."""
@@ -274,8 +279,13 @@ class Engine:
             program = datalog_parser.parse(program)
         queries = []
         for x in program.items:
+            if isinstance(x, Rule) and x.head.pred not in PROTECTED and x.body == Truth(True) and (x.kind != "det" or x.given is None):
+                self._ground(x)
+                continue
+            if not isinstance(x, (Rule, Constraint, NegativeFact)) or (isinstance(x, Rule) and x.head.pred in self.waiting):
+                self._flush()
             if isinstance(x, Rule):
-                if x.head.pred == ANSWER and x.body != Truth(True):
+                if x.head.pred == ANSWER:
                     queries.append(x)
                 else:
                     self.add_rule(x)
@@ -290,6 +300,7 @@ class Engine:
                 if x.name not in self.commands:
                     raise ProgramError(f"no command .{x.name}")
                 self.commands[x.name](*x.args, **dict(x.kwargs))
+        self._flush()
         return queries
 
     def _assign(self, x: Assign) -> None:
@@ -548,7 +559,7 @@ class Engine:
             if made is None:
                 continue
             rules, name = made
-            seed_name, row = seed(goal, name.split("^", 1)[0] + "^" + name.split("^", 1)[1])
+            seed_name, row = seed(goal, name)
             start = Relation(self.spark.createDataFrame([row], [f"_{i}" for i in range(len(row))]), True)
             # the seed is a base rule of its magic predicate
             rules.setdefault(seed_name, [])

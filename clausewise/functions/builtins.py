@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 from typing import Any, get_type_hints
 
 import pandas as pd
@@ -11,6 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+def _row_std(xs: tuple[Column, ...]) -> Column:
+    """Sample deviation of a row's values; null for one value."""
+    mean = reduce(add, xs).cast("double") / len(xs)
+    return F.sqrt(F.try_divide(reduce(add, [(x - mean) * (x - mean) for x in xs]), F.lit(float(len(xs) - 1))))
+
+
 # Names of functions with a Spark counterpart.
 NATIVE: dict[str, Callable[..., Column]] = {
     "exp": F.exp,
@@ -52,6 +61,11 @@ NATIVE: dict[str, Callable[..., Column]] = {
     "str": lambda x: x.cast("string"),
     "bool": lambda x: x.cast("boolean"),
     "EUCLIDEAN": lambda i, j, k, a, b, c: F.sqrt((i - a) * (i - a) + (j - b) * (j - b) + (k - c) * (k - c)),
+    "row_max": F.greatest,
+    "row_min": F.least,
+    "row_sum": lambda *xs: reduce(add, xs),
+    "row_mean": lambda *xs: reduce(add, xs).cast("double") / len(xs),
+    "row_std": lambda *xs: _row_std(xs),
     "neg": lambda x: -x,
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,

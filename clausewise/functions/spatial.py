@@ -263,9 +263,9 @@ def to_millimetres(i: Column, j: Column, k: Column, affine: list[list[float]]) -
     return [sum((c * v for c, v in zip(row[:3], (i, j, k), strict=True)), F.lit(row[3])) for row in affine[:3]]
 
 
-def principal_regions(df: DataFrame, k: int, column: str = "region") -> DataFrame:
-    """The k regions with most voxels."""
-    return df.orderBy(F.size(F.col(column)["voxels"]).desc()).limit(k)
+def principal_regions(df: DataFrame, k: int, column: str = "region", ties: list[str] | None = None) -> DataFrame:
+    """The k regions with most voxels; equal ones in the order of ``ties``."""
+    return df.orderBy(F.size(F.col(column)["voxels"]).desc(), *(ties or [])).limit(k)
 
 
 def overlay(df: DataFrame, shape: tuple[int, int, int], value: str | None = None):

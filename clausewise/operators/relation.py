@@ -263,10 +263,14 @@ class Relation:
         if set(names) & set(keys) or len(set(names)) != len(names):
             raise RelationError("an aggregate's target repeats a key or another target")
         rows = self.as_set()
-        native = all(isinstance(f, str) or getattr(f, "column_function", False) for _, _, f in aggregates)
-        if not native:
-            return rows._aggregate_python(keys, aggregates)
-        made = [(AGGREGATES[f] if isinstance(f, str) else f)(_col(s) if s else F.lit(1)).alias(t) for t, s, f in aggregates]
+        is_native = lambda f: isinstance(f, str) or getattr(f, "column_function", False)
+        native, user = [x for x in aggregates if is_native(x[2])], [x for x in aggregates if not is_native(x[2])]
+        if user:
+            out = rows._aggregate_python(keys, user)
+            if native:
+                out = rows.aggregate(keys, native).natural_join(out) if keys else rows.aggregate(keys, native).product(out)
+            return out.project(*keys, *names)
+        made = [(AGGREGATES[f] if isinstance(f, str) else f)(_col(s) if s else F.lit(1)).alias(t) for t, s, f in native]
         if keys:
             return Relation(rows.df.groupBy(*map(_col, keys)).agg(*made), True)
         out = rows.df.agg(*made, F.count(F.lit(1)).alias("__n")).filter("__n > 0").drop("__n")
@@ -290,24 +294,37 @@ class Relation:
         return Relation(out, True)
 
     def _aggregate_python(self, keys: list[str], aggregates: list) -> Relation:
-        """User aggregates: one call per group in Arrow; a group's rows meet in one task, as the function needs them all."""
+        """User aggregates: one call per group in Arrow; a group's rows meet in one task, as the function needs them all.
+
+        Nulls of a single source are left out before the call, as in native aggregates; without any value the result is null.
+        """
         import pandas as pd
 
         kinds = {f.name: f.dataType.simpleString() for f in self.df.schema}
-        fields = [f"`{k}` {kinds[k]}" for k in keys]
-        for t, s, f in aggregates:
-            kind = getattr(f, "returns", None) or (kinds.get(s, "double") if s and isinstance(f, str) and f in ("max", "min", "first", "last") else "long" if f == "count" else "double")
-            fields.append(f"`{t}` {kind}")
-        by_name = {"count": len, "sum": sum, "max": max, "min": min, "mean": lambda v: float(v.mean()), "avg": lambda v: float(v.mean()), "std": lambda v: float(v.std()), "var": lambda v: float(v.var()), "median": lambda v: float(v.median()), "first": lambda v: v.iloc[0], "last": lambda v: v.iloc[-1]}
+        fields = [f"`{k}` {kinds[k]}" for k in keys] + [f"`{t}` {getattr(f, 'returns', None) or 'double'}" for t, _, f in aggregates]
+
+        def value(pdf: pd.DataFrame, source: str | None, fn: Callable) -> Any:
+            if not source:
+                return fn(pdf)
+            some = pdf[source].dropna()
+            return fn(some) if len(some) else None
 
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            values = [(by_name[f] if isinstance(f, str) else f)(pdf[s] if s else pdf) for _, s, f in aggregates]
-            return pd.DataFrame([[*key, *values]])
+            return pd.DataFrame([[*key, *[value(pdf, s, f) for _, s, f in aggregates]]])
 
+        needed = self.df.select(*map(_col, dict.fromkeys([*keys, *([c for c in self.columns] if any(not s for _, s, _ in aggregates) else [s for _, s, _ in aggregates])])))
         if not keys:
-            one = self.df.withColumn("__one", F.lit(1)).groupBy("__one")
+            one = needed.withColumn("__one", F.lit(1)).groupBy("__one")
             return Relation(one.applyInPandas(lambda pdf: run((), pdf), ", ".join(fields)), True)
-        return Relation(self.df.groupBy(*map(_col, keys)).applyInPandas(run, ", ".join(fields)), True)
+        return Relation(needed.groupBy(*map(_col, keys)).applyInPandas(run, ", ".join(fields)), True)
+
+    def groups(self, *keys: str) -> Iterator[tuple[tuple, Relation]]:
+        """Each group's key and its rows as a relation, in the order of keys. The keys come to the driver a partition at a
+        time, the groups stay where they are."""
+        self._need(*keys)
+        rows = self.as_set()
+        for r in rows.project(*keys).as_set().df.orderBy(*map(_col, keys)).toLocalIterator():
+            yield tuple(r), rows.select_constants(dict(zip(keys, r, strict=True)))
 
     # --- sinks
     def to_pandas(self):

@@ -95,6 +95,11 @@ class Compiler:
             return F.lit(t.value)
         if isinstance(t, TupleTerm):
             return F.struct(*[self.column(x).alias(f"_{i}") for i, x in enumerate(t.items)])
+        if isinstance(t, Call) and t.name == "item" and t.name not in self.functions.scalars:
+            # an element of a tuple, by its place
+            if len(t.args) != 2 or not isinstance(t.args[1], Const):
+                raise ProgramError("item takes a tuple and a place")
+            return self.column(t.args[0])[f"_{t.args[1].value}"]
         if isinstance(t, Call):
             fn = self.functions.scalars.get(t.name)
             if fn is None:

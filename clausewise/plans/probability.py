@@ -22,6 +22,7 @@ from clausewise.operators.relation import Relation, _col
 from clausewise.plans.ast import And, Atom, Call, Compare, Const, Exists, Not, NotLiftable, Or, ProgramError, Rule, Truth, Var, conjuncts, free_vars, fresh_name, substitute
 from clausewise.plans.compiler import Compiler
 from clausewise.plans.constraints import unify
+from clausewise.runtime import stored
 
 #: Clauses of one answer's lineage beyond which counting refuses.
 MAX_CLAUSES = 20_000
@@ -258,8 +259,31 @@ class Solver:
                     at.setdefault(a.pred, set()).add(tuple(i for i, t in enumerate(a.args) if t == Var(x)))
                 if all(len(s) == 1 or set.intersection(*map(set, s)) for s in at.values()) and all(self.kind(a.pred) == "fact" for a, _ in lits):
                     return self.lift([*head, x], parts).project_independent(*head)
+        two = self._two_apart(head, parts, lits, inner)
+        if two is not None:
+            return two
         raise NotLiftable("no separator variable")
 
+    def _two_apart(self, head: list[str], parts: list, lits: list[tuple[Atom, bool]], inner: list[str]) -> ProbRelation | None:
+        """Two atoms of one fact predicate that differ in one hidden variable, held apart by x < y or x != y: ranking.
+
+        Both hold for some pair if at least two of the rows with the other arguments hold: a sum over rows, no pairs.
+        """
+        tests = [p for p in parts if isinstance(p, Compare)]
+        if len(lits) != 2 or len(tests) != 1 or len(parts) != 3 or len(inner) != 2 or tests[0].op not in ("<", ">", "!=") or {tests[0].left, tests[0].right} != {Var(v) for v in inner}:
+            return None
+        (a, one), (b, other) = lits
+        apart = [(s, t) for s, t in zip(a.args, b.args, strict=False) if s != t]
+        if not (one and other) or a.pred != b.pred or self.kind(a.pred) != "fact" or len(a.args) != len(b.args) or len(apart) != 1 or {*apart[0]} != {Var(v) for v in inner}:
+            return None
+        rows = self._stored(a)
+        chance, keys = _col(P), [_col(h) for h in head]
+        open_ = F.when(chance < 1.0, chance)
+        # rows that surely hold; the chance that none of the others holds; the sum that leads to exactly one of them
+        sums = rows.df.filter((chance > 0) & _col(apart[0][0].name).isNotNull()).groupBy(*keys).agg(F.count(F.when(chance >= 1.0, 1)).alias("__sure"), F.exp(F.coalesce(F.sum(F.log1p(-open_)), F.lit(0.0))).alias("__none"), F.coalesce(F.sum(open_ / (1 - open_)), F.lit(0.0)).alias("__odds"))
+        both = F.when(F.col("__sure") > 1, 1.0).when(F.col("__sure") == 1, 1 - F.col("__none")).otherwise(1 - F.col("__none") * (1 + F.col("__odds")))
+        return ProbRelation(Relation(sums.select(*keys, F.greatest(both, F.lit(0.0)).alias(P)), True)).positive()
+
     # --- minimisation
     def _homomorphism(self, a: list, b: list, head: list[str]) -> bool:
         """Whether the positive atoms of a map into those of b with head variables fixed (no other parts allowed)."""
@@ -344,7 +368,12 @@ class Solver:
             side = rel.df.select(*map(_col, head), F.sort_array(clause).alias("__clause"))
             rows = side if rows is None else rows.unionByName(side)
         # clauses travel as JSON: arrays of arrays of structs have no frame form
-        grouped = rows.distinct().groupBy(*map(_col, head)).agg(F.collect_list(F.to_json("__clause")).alias("__clauses"))
+        rows = stored(rows.distinct())
+        # counted before any answer's clauses are gathered
+        big = rows.groupBy(*map(_col, head)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > MAX_CLAUSES)
+        if not big.isEmpty():
+            raise ProgramError(f"an answer's lineage has more than {MAX_CLAUSES} clauses")
+        grouped = rows.groupBy(*map(_col, head)).agg(F.collect_list(F.to_json("__clause")).alias("__clauses"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from clausewise.engine import Engine
 from clausewise.operators.relation import Relation
-from clausewise.plans.ast import Not, ProgramError, conjuncts, free_vars
+from clausewise.plans.ast import Not, ProgramError, conjuncts
+from clausewise.plans.compiler import head_names
 from clausewise.plans.datalog_parser import parse
 
 
@@ -29,8 +30,9 @@ def stream_answer(engine: Engine, stream: DataFrame, name: str, program: str, ev
     rel = c.conjunction(conjuncts(c.expand_formula(rule.body)))
     if any(isinstance(p, Not) and name in str(p) for p in conjuncts(rule.body)):
         raise ProgramError("a stream cannot be negated")
-    names = [v for a in rule.head.args for v in free_vars(rule.head) if a is not None]
-    out = rel.df.select(*[c.column(c.expand(a)).alias(n) for a, n in zip(rule.head.args, dict.fromkeys(names), strict=False)])
+    if any(c.is_aggregate(c.expand(a)) for a in rule.head.args):
+        raise ProgramError("an aggregate over a stream needs windows: see windowed_counts")
+    out = rel.df.select(*[c.column(c.expand(a)).alias(n) for a, n in zip(rule.head.args, head_names(rule.head), strict=True)])
     return out.dropDuplicatesWithinWatermark() if event_time and event_time in out.columns else out
 
 

@@ -446,3 +446,71 @@ def test_python_front_end(spark):
     d.M[d.x, d.PROB[d.x]] = d.F[d.x] // d.C[d.x]
     assert rows(d.query((d.x, d.p), d.M[d.x, d.p])) == {("a", 0.3), ("b", 0.8)}
     assert set(d.solve_all()) >= {"Q", "T", "Z", "M"}
+
+
+def test_ground_facts_are_stored_together(e):
+    e.load("\n".join(f"f({i}, 'x{i % 7}')." for i in range(1000)) + "\nf(0.5, 'x0').\ng(1). 0.5 :: w(1). 0.25 :: w(2).\nh(x) :- g(x).")
+    assert rows(e.execute("ans(count(x)) :- f(x, y).")) == {(1001,)}
+    assert rows(e.execute("ans(x, PROB(x)) :- w(x).")) == {(1, 0.5), (2, 0.25)} and rows(e.execute("ans(x) :- h(x).")) == {(1,)}
+    e.load("g(2).")
+    assert rows(e.execute("ans(x) :- h(x).")) == {(1,), (2,)}
+    for bad in ("g(1, 2).", "0.5 :: g(3).", "h(4).", "k(1). k(1, 2)."):
+        with pytest.raises(ProgramError):
+            e.load(bad)
+        e.waiting = {}
+
+
+def test_user_aggregates_beside_native_ones(e):
+    e.add_table([(1, 1), (1, None), (1, 3), (2, None)], "n")
+    e.add_symbol(lambda v: float(v.max() - v.min()), "spread")
+    assert rows(e.execute("ans(k, sum(v), spread(v)) :- n(k, v).")) == {(1, 4, 2.0), (2, None, None)}
+    assert rows(e.execute("ans(spread(v), sum(v)) :- n(k, v).")) == {(2.0, 4)}
+    got = {k: rows(r) for k, r in e.tables["n"].groups("_0")}
+    assert list(got) == [(1,), (2,)] and got[(2,)] == {(2, None)}
+
+
+def test_two_of_many_by_ranking(spark):
+    """At least two of a group's rows hold: equal to exact counting, without pairs."""
+    rng = random.Random(2)
+    facts = [(rng.choice([0.0, 0.1, 0.5, 1.0]), i, i % 6) for i in range(40)] + [(0.7, 90, 9), (1.0, 91, 10), (0.5, 92, 10)]
+    for op in ("x < y", "x > y", "x != y", "y > x"):
+        a, b = Engine(spark), Engine(spark)
+        b.methods = ("lineage",)
+        got = []
+        for m in (a, b):
+            m.add_probabilistic_facts(facts, "up")
+            got.append(rows(m.execute(f"ans(n, PROB(n)) :- up(x, n), up(y, n), ({op}).")))
+        assert a.explained == ["lifted"] and b.explained == ["lineage"]
+        assert {k: round(v, 7) for k, v in got[0]} == {k: round(v, 7) for k, v in got[1]} and 9 not in dict(got[0])
+
+
+def test_lineage_is_counted_before_it_is_gathered(spark, monkeypatch):
+    from clausewise.plans import probability
+
+    monkeypatch.setattr(probability, "MAX_CLAUSES", 5)
+    p = Engine(spark)
+    p.add_probabilistic_facts([(0.5, i, i + 1) for i in range(9)], "B")
+    with pytest.raises(ProgramError, match="more than 5 clauses"):
+        p.execute("ans(PROB()) :- B(x, y), B(y, z).")
+
+
+def test_magic_passes_negation_and_aggregates(e):
+    from clausewise.plans.ast import Atom, Const, Var
+    from clausewise.plans.magic import rewrite
+
+    e.add_table([(3,)], "bad")
+    e.load("tc(x, y) :- edge(x, y). tc(x, y) :- tc(x, z), edge(z, y). worse(x) :- bad(x). ok(x, y) :- tc(x, y), ~worse(y). far(x, count(y)) :- tc(x, y).")
+    made, name = rewrite(Atom("ok", (Const(1), Var("y"))), e.rules)
+    assert name == "ok^bf" and "tc^bf" in made and "tc" not in made and "worse" in made
+    made, name = rewrite(Atom("far", (Const(1), Const(3))), e.rules)
+    assert name == "far^bf" and "tc^bf" in made
+    assert rows(e.execute("ans(y) :- ok(1, y).")) == {(2,), (4,)}
+    assert rows(e.execute("ans(n) :- far(1, n).")) == {(3,)} and rows(e.execute("ans() :- far(1, 3).")) == {()}
+    assert rows(e.execute("ans(x) :- ok(x, 4).")) == {(1,), (2,), (3,)}
+
+
+def test_row_functions_and_tuple_places(e):
+    got = rows(e.execute("ans(x, v) :- edge(x, y), v == row_sum(x, y) + row_max(x, y) * row_mean(x, y, 3) - row_min(x, y)."))
+    assert got == {(x, round(x + y + y * (x + y + 3) / 3 - x, 9)) for x, y in [(1, 2), (2, 3), (3, 4)]}
+    assert rows(e.execute("ans(x, v) :- edge(x, y), v == row_std(x, y).")) == {(x, round(math.sqrt(0.5), 9)) for x in (1, 2, 3)}
+    assert rows(e.execute("ans(v) :- edge(x, y), u == (x, y), v == item(u, 1).")) == {(2,), (3,), (4,)}
