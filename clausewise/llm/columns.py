@@ -31,3 +31,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of all columns of a row; nulls and maps count."""
+    columns = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])

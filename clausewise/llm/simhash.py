@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.columns import fresh
+from clausewise.llm.columns import fresh, row_hash
 from clausewise.llm.components import connected_components
 from clausewise.runtime import stored
 
@@ -156,11 +156,10 @@ def link_components(prints: DataFrame) -> DataFrame:
 
     rows = stored(distinct.filter(F.col("rep").isNotNull()).mapInPandas(emit, "key long, home boolean, fp long, rep long"))
     counts = rows.groupBy("key").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.sum((~F.col("home")).cast("long")).alias("probes"))
-    # fingerprints alone at their anchor have nothing to meet
-    hot = stored(counts.filter((F.col("homes") > BLOCK) | (F.col("probes") > BLOCK)).filter("homes > 0"))
-    dealt = rows.join(hot, "key", "left")
-    home_blocks = F.coalesce(F.ceil(F.col("homes") / BLOCK), F.lit(1)).cast("int")
-    probe_blocks = F.coalesce(F.ceil(F.col("probes") / BLOCK), F.lit(1)).cast("int")
+    # a home probes its own anchor too: alone there, or without a home, fingerprints have nothing to meet and leave here
+    met = stored(counts.filter("homes > 0 AND probes > 1"))
+    dealt = rows.join(met, "key")
+    home_blocks, probe_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("homes", "probes"))
     own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), home_blocks).otherwise(probe_blocks)).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), probe_blocks).otherwise(home_blocks) - 1))
     dealt = dealt.select("key", "home", "fp", "rep", own.alias("own"), each.alias("other"))
@@ -201,7 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least id (null last), then of the least text hash."""
+    """docs with one row of each component: that of the least id (null last), then of the least text hash, and of rows
+    equal in both that of the least hash over all columns."""
     found = stored(near_duplicates(docs, id_col, text_col))
     # components of rows without any id are told apart by fingerprint
     group = F.when(F.col("component").isNull(), F.col("fp"))
@@ -216,6 +216,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     left = docs.join(gone.toDF(gid, gtk), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gid)) & (F.xxhash64(text) == F.col(gtk)), "left_anti")
     if of_row.filter("rows > 1").join(kept, same(of_row, kept), "left_semi").isEmpty():
         return left
-    # equal rows of a kept id and text: one of them
-    (tk,) = fresh(docs, "tk")
-    return left.withColumn(tk, F.xxhash64(text)).dropDuplicates([id_col, tk]).drop(tk)
+    # rows equal in a kept id and text: one of them, the same in every run
+    rid, rtk, row, best = fresh(docs, "row_id", "row_tk", "row_hash", "best_hash")
+    left = left.withColumns({rid: F.col(f"`{id_col}`"), rtk: F.xxhash64(text), row: row_hash(docs)})
+    least = left.groupBy(rid, rtk).agg(F.min(row).alias(best)).toDF(gid, gtk, best)
+    one = left.join(least, F.col(rid).eqNullSafe(F.col(gid)) & (F.col(rtk) == F.col(gtk)) & (F.col(row) == F.col(best)), "left_semi")
+    return one.dropDuplicates([rid, rtk]).drop(rid, rtk, row)
