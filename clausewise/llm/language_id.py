@@ -1,14 +1,15 @@
 """Language identification by word-first backoff.
 
-A model holds, per language, log frequencies of the commonest words and of character n-grams (lengths 4 to 1, words
+A model holds, per language, log frequencies of words and of character n-grams (lengths 4 to 1, words
 padded with a space on either side). A text's words are its runs of letters in lower case. A word that the model knows
 is scored by its log frequency in each language; an unseen word by the mean log frequency of its longest known
 n-grams, falling back to shorter ones until some are known. A text's score is the mean over its words; a tempered softmax
 makes it a probability.
 
-The model is fitted on a bounded sample of labelled rows: about ``max_docs`` of them, chosen by a hash of the id, and its
-tables hold at most ``max_words`` words and ``max_grams`` n-grams a length and language. Prediction covers every text
-whole.
+The model is fitted on a bounded sample of labelled rows: about ``max_docs`` of them, chosen by a hash of id and text. All
+words and n-grams of the sample count, with no further bound; words seen fewer than ``min_count`` times only do so by their
+n-grams. Counting is distributed; the tables that come to the driver hold what the bounded sample holds. Prediction covers
+every text whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. If nothing could be learned (no labelled
 rows), every text is ``und``. If no n-gram of a text is known, all languages tie; ties go to the least language code.
@@ -27,13 +28,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from clausewise.runtime import stored
 
 UNKNOWN = "und"
 LONGEST = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words kept with their scores between batches of a worker.
 KEEP_WORDS = 200_000
+#: Rows are sampled by a hash modulo this, finer than any number of rows.
+SPAN = 1 << 62
 
 
 def letter_words(text: str) -> Counter:
@@ -133,14 +137,15 @@ class Scorer:
         return labels, scores
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_grams: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> LanguageModel:
-    """Learn from labelled rows (of ``where``): about max_docs of them at most, by a hash of the id."""
+def fit(docs: DataFrame, max_docs: int = 20_000, min_count: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> LanguageModel:
+    """Learn from labelled rows (of ``where``): about max_docs of them at most, by a hash of id and text. All words of
+    these rows count, those seen min_count times or more by themselves, all of them by their n-grams."""
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if where is not None:
         usable = usable.filter(where)
     total = usable.count()
     if total > max_docs:
-        usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
+        usable = usable.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(8)), F.lit(SPAN)) < SPAN * max_docs // total)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -154,11 +159,13 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 20_000, max_gr
                 held, n = {}, 0
         yield from _frames(held)
 
-    counted = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words)
-    # at most max_words rows a language of the bounded sample
-    rows = top.select("lang", "word", "n").toPandas()
-    return build(rows, max_grams)
+    counted = stored(usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInPandas(run, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    grams = counted.mapInPandas(_gram_counts, "size int, gram long, lang string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
+    sure = counted.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") >= min_count).select("word")
+    # what comes to the driver comes from the bounded sample alone
+    totals = {r["lang"]: (r["words"], r["types"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("types")).collect()}
+    every = counted.select("word").distinct().count()
+    return build(totals, every, counted.join(sure, "word").select("word", "lang", "n").toPandas(), grams.toPandas())
 
 
 def _frames(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
@@ -167,43 +174,54 @@ def _frames(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
 
-def build(rows: pd.DataFrame, max_grams: int) -> LanguageModel:
-    """Tables from the words' counts (lang, word, n)."""
-    langs = sorted(rows["lang"].unique().tolist())
+def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(size, gram, lang, n): n-grams of counted words (word, lang, n), summed within a batch."""
+    for pdf in batches:
+        for lang, rows in pdf.groupby("lang", sort=False) if len(pdf) else ():
+            flat, lengths = _codes(rows["word"].tolist())
+            n = rows["n"].to_numpy()
+            start = np.cumsum(lengths + 1) - lengths - 1
+            word = np.append(np.repeat(np.arange(len(rows)), lengths + 1), len(rows) - 1)
+            for size in range(1, LONGEST + 1):
+                got = _grams(flat, size)
+                w = word[: len(got)]
+                inside = np.arange(len(got)) + size <= start[w] + lengths[w] + 2
+                if size == 1:
+                    inside &= flat[: len(got)] != 32
+                keys, at = np.unique(got[inside], return_inverse=True)
+                yield pd.DataFrame({"size": np.full(len(keys), size, np.int32), "gram": keys.view(np.int64), "lang": lang, "n": np.bincount(at, n[w[inside]], minlength=len(keys)).astype(np.int64)})
+
+
+def build(totals: dict[str, tuple[int, int]], every: int, words: pd.DataFrame, grams: pd.DataFrame) -> LanguageModel:
+    """Tables from counts: per language its words and different words, of all languages the different words; the counts
+    (word, lang, n) of words that stand for themselves, and (size, gram, lang, n) of n-grams."""
+    langs = sorted(totals)
     if not langs:
         return LanguageModel([], {}, np.zeros((0, 0), np.float32), [np.zeros(0, np.uint64)] * LONGEST, [np.zeros((0, 0), np.float32)] * LONGEST)
     which = {x: k for k, x in enumerate(langs)}
-    words = {w: i for i, w in enumerate(sorted(rows["word"].unique().tolist()))}
-    counts = np.zeros((len(words), len(langs)))
-    counts[rows["word"].map(words), rows["lang"].map(which)] = rows["n"]
-    # words seen once tell as much by their n-grams
-    sure = counts.sum(axis=1) >= 3
-    names = [w for w, ok in zip(words, sure, strict=True) if ok]
+
+    def table(names: pd.Series, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        uniq, at = np.unique(names.to_numpy(), return_inverse=True)
+        out = np.zeros((len(uniq), len(langs)))
+        out[at, rows["lang"].map(which).to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
+        return uniq, out
+
+    names, counts = table(words["word"], words)
     keys, scores = [], []
-    flat, lengths = _codes(list(words))
-    start = np.cumsum(lengths + 1) - lengths - 1
-    word = np.append(np.repeat(np.arange(len(words)), lengths + 1), len(words) - 1)
-    for n in range(1, LONGEST + 1):
-        got = _grams(flat, n)
-        w = word[: len(got)]
-        inside = np.arange(len(got)) + n <= start[w] + lengths[w] + 2
-        if n == 1:
-            inside &= flat[: len(got)] != 32
-        uniq, at = np.unique(got[inside], return_inverse=True)
-        table = np.stack([np.bincount(at, counts[w[inside], k], minlength=len(uniq)) for k in range(len(langs))], axis=1)
-        keep = np.zeros(len(uniq), bool)
-        for k in range(len(langs)):
-            best = np.argsort(-table[:, k], kind="stable")[:max_grams]
-            keep[best[table[best, k] > 0]] = True
-        keys.append(uniq[keep])
-        scores.append(_logs(table)[keep])
-    return LanguageModel(langs, {w: i for i, w in enumerate(names)}, _logs(counts)[sure], keys, scores)
-
-
-def _logs(table: np.ndarray) -> np.ndarray:
+    for size in range(1, LONGEST + 1):
+        rows = grams[grams["size"] == size]
+        uniq, counted = table(rows["gram"].astype("int64"), rows)
+        order = np.argsort(uniq.view(np.uint64))
+        keys.append(uniq.view(np.uint64)[order])
+        scores.append(_logs(counted, counted.sum(axis=0), len(counted))[order])
+    sums = np.array([totals[x][0] for x in langs], float)
+    return LanguageModel(langs, {w: i for i, w in enumerate(names.tolist())}, _logs(counts, sums, every), keys, scores)
+
+
+def _logs(table: np.ndarray, sums: np.ndarray, types: int) -> np.ndarray:
     """Log frequencies by column, smoothed, less each row's mean: only differences between languages tell."""
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table)))
-    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+    logs = np.log((table + 0.5) / (sums + 0.5 * types))
+    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32) if len(table) else logs.astype(np.float32)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
