@@ -216,6 +216,10 @@ def coder_of(config: str, end_id: int) -> ChunkEncoder:
     return _CODERS[config, end_id]
 
 
+#: A row for each file.
+MANIFEST = "partition int, shard int, n_docs long, n_tokens long, file string"
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """Tokenise and write all rows in ascending id order below ``path``; runs now.
 
@@ -242,11 +246,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         held = shard = 0
 
         def flush() -> pd.DataFrame:
-            name = f"{base}/{part:08d}-{shard:06d}.tok"
-            with store.open_output_stream(tmp := f"{name}.{uuid.uuid4().hex}.tmp") as out:
+            # each attempt of a task writes files of its own; the manifest names those that count
+            name = f"{part:08d}-{shard:06d}-{uuid.uuid4().hex}.tok"
+            with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(build_shard(ids, arrays, bits))
-            store.move(tmp, name)
-            return pd.DataFrame({"partition": [part], "shard": [shard], "n_docs": [len(ids)], "n_tokens": [held]})
+            return pd.DataFrame({"partition": [part], "shard": [shard], "n_docs": [len(ids)], "n_tokens": [held], "file": [name]})
 
         for pdf in batches:
             texts, keys = pdf["text"].tolist(), pdf["id"].tolist()
@@ -267,18 +271,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    manifest = rows.mapInPandas(run, "partition int, shard int, n_docs long, n_tokens long")
+    manifest = rows.mapInPandas(run, MANIFEST)
     # one row per shard: their number is the output's size over SHARD_IDS, not the number of documents
     found = [tuple(r) for r in manifest.collect()]
-    return spark.createDataFrame(sorted(found), "partition int, shard int, n_docs long, n_tokens long")
+    return spark.createDataFrame(sorted(found), MANIFEST)
 
 
 def read_token_files(spark, path: str, manifest: DataFrame, columns: str = "digest") -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all before it), n_tokens, and its ids or their CRC-32."""
-    rows = sorted((r["partition"], r["shard"], r["n_tokens"]) for r in manifest.collect())
+    rows = sorted((r["partition"], r["shard"], r["file"], r["n_tokens"]) for r in manifest.collect())
     starts, total = {}, 0
-    for part, shard, count in rows:
-        starts[f"{part:08d}-{shard:06d}.tok"] = total
+    for _, _, name, count in rows:
+        starts[name] = total
         total += count
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if columns == "digest" else "ids array<int>")
     if not rows:
