@@ -312,8 +312,8 @@ def _chunks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids array<int>, decoded string (the text that decode() gives for the ids)."""
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, ids array<int>, decoded string (the text that decode() gives for the ids), and the columns to keep."""
     tables = docs.sparkSession.sparkContext.broadcast(load_tables(model_file))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -322,10 +322,10 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             texts = pdf["text"].tolist()
             for i, j in _chunks(texts, 4 * PASS_CHARS):
                 got = coder.digests(texts[i:j])
-                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "ids": [np.fromstring(g[1].decode(), np.int32, sep=",") if g[1] else np.zeros(0, np.int32) for g in got], "decoded": [g[2] for g in got]})
+                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "ids": [np.fromstring(g[1].decode(), np.int32, sep=",") if g[1] else np.zeros(0, np.int32) for g in got], "decoded": [g[2] for g in got], **{c: pdf[c].iloc[i:j].to_numpy() for c in keep}})
 
-    kind = docs.schema[id_col].dataType
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    kinds = [("id", docs.schema[id_col].dataType), ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType()), *[(c, docs.schema[c].dataType) for c in keep]]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInPandas(run, T.StructType([T.StructField(n, k) for n, k in kinds]))
 
 
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

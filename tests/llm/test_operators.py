@@ -1,6 +1,7 @@
 """Operators against brute force, library round trips and edge cases (nulls, empty tables and texts, ties, repeats)."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -656,18 +657,62 @@ def test_language_id_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_language_id_backs_off():
-    import pandas as pd
-
-    from clausewise.llm.language_id import UNKNOWN, Scorer, build
-
-    rows = pd.DataFrame([("en", w, 5) for w in "the and thing with nothing running".split()] + [("de", w, 5) for w in "der und ding mit nichts schulung".split()], columns=["lang", "word", "n"])
-    s = Scorer(build(rows, 1000))
-    labels, scores = s.predict(["somethings", "bildungen", None, "", "123 ²", "the der", "жжж"])
-    assert labels[:5] == ["en", "de", UNKNOWN, UNKNOWN, UNKNOWN] and scores[2:5] == [0.0, 0.0, 0.0]
-    assert labels[6] in ("de", "en") and scores[6] == pytest.approx(0.5)
-    # a back-off score equals a plain look-up of the longest known n-grams
-    assert s.predict(["somethings"]) == Scorer(s.m).predict(["somethings"])
+def language_reference(counts, text, sharpness=4.0, least=3):
+    """Label and score of a text by plain look-ups; counts: {language: {word: n}}."""
+    langs = sorted(counts)
+    types = len({w for c in counts.values() for w in c})
+
+    def logs(of, sums, kinds):
+        rows = [math.log((of.get(x, 0) + 0.5) / (sums[x] + 0.5 * kinds)) for x in langs]
+        return [r - sum(rows) / len(rows) for r in rows]
+
+    grams = [defaultdict(Counter) for _ in range(5)]
+    for x in langs:
+        for w, n in counts[x].items():
+            padded = f" {w} "
+            for size in range(1, 5):
+                for i in range(len(padded) - size + 1):
+                    if padded[i : i + size] != " ":
+                        grams[size][padded[i : i + size]][x] += n
+    sums = {x: sum(counts[x].values()) for x in langs}
+    gram_sums = [{x: sum(g[x] for g in of.values()) for x in langs} for of in grams]
+
+    def word_score(w):
+        if sum(counts[x].get(w, 0) for x in langs) >= least:
+            return logs({x: counts[x].get(w, 0) for x in langs}, sums, types)
+        padded = f" {w} "
+        for size in range(4, 0, -1):
+            known = [grams[size][padded[i : i + size]] for i in range(len(padded) - size + 1) if padded[i : i + size] in grams[size]]
+            if known:
+                rows = [logs(g, gram_sums[size], len(grams[size])) for g in known]
+                return [sum(c) / len(rows) for c in zip(*rows)]
+        return [0.0] * len(langs)
+
+    words = [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(map(str.isalpha, w))]
+    if not words:
+        return "und", 0.0
+    means = [sum(c) / len(words) for c in zip(*map(word_score, words))]
+    z = [m * sharpness * min(len(words), 400) ** 0.5 / 4 for m in means]
+    e = [math.exp(x - max(z)) for x in z]
+    k = max(range(len(langs)), key=lambda i: (e[i], -i))
+    return langs[k], e[k] / sum(e)
+
+
+def test_language_id_against_plain_look_ups(spark, docs):
+    """Fitted counts and back-off scores equal those of a loop over words and n-grams."""
+    from clausewise.llm.language_id import UNKNOWN, fit, predict
+
+    rows = docs.filter("lang is not null and text is not null").limit(60).collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        counts[r["lang"]].update(w for w in re.findall(r"[^\W\d_]+", r["text"].lower()) if any(map(str.isalpha, w)))
+    model = fit(frame(spark, [(r["doc_id"], r["text"], r["lang"], "a") for r in rows]))
+    texts = ["somethings", "bildungen zu", None, "", "123 ²", "the der la", "жжж", "Straße Ñandú cœur", "x"] + [r["text"] for r in docs.limit(90).collect()[60:]]
+    got = {r["doc_id"]: r for r in predict(frame(spark, [(k, t, None, "a") for k, t in enumerate(texts)]), model, label_col="l", score_col="s").collect()}
+    for k, t in enumerate(texts):
+        label, score = language_reference(counts, t) if t else (UNKNOWN, 0.0)
+        assert got[k]["s"] == pytest.approx(score, abs=1e-4), t
+        assert got[k]["l"] == label or t == "жжж", t
 
 
 def test_language_id_edges(edge, empty, spark):
@@ -744,8 +789,53 @@ def test_mix_edges(edge, empty):
     assert all(r["size"] == 0 for r in rows if r["id"] in (1, 2, 3))
     assert training_documents(edge).count() == sum(r["copies"] for r in rows)
     assert mix(empty).count() == 0 and training_documents(empty).count() == 0
-    with pytest.raises(ValueError):
-        mix(edge, max_sources=2)
+
+
+def mix_reference(rows, weights, targets):
+    """Copies of each document by walking its source's documents in their order; rows: (key, source, size)."""
+    copies = {}
+    for source in {s for _, s, _ in rows}:
+        mine = [(k, n) for k, s, n in rows if s == source]
+        total, before = sum(n for _, n in mine), 0
+        for k, n in mine:
+            copies[k] = sum(before + n / 2 + e * total <= targets[source] for e in range(3)) if total else 1
+            before += n
+    return copies
+
+
+def test_mix_against_a_walk(spark, docs):
+    """taken of every document, and the same targets and positions when sources are planned by distributed sums."""
+    from clausewise.llm.source_mix import mix, share_targets
+
+    some = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.concat("source", (F.col("doc_id") % 7).cast("string"))))
+    got = {(r["id"], r["tk"]): r for r in mix(some).collect()}
+    order = some.select("doc_id", F.xxhash64("text").alias("tk"), "source", "text", F.xxhash64("doc_id", F.lit(9)).alias("h")).collect()
+    rows = [((r["doc_id"], r["tk"]), r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in sorted(order, key=lambda r: (r["h"], r["doc_id"]))]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, s, n in rows if s == x) for x in names]
+    weights = [k % 3 + 1 for k in range(len(names))]
+    targets = dict(zip(names, share_targets(sizes, weights, sum(sizes), 3)))
+    want = mix_reference(rows, weights, targets)
+    assert {k: r["copies"] for k, r in got.items()} == want
+    assert all(got[k]["size"] == n and got[k]["target"] == pytest.approx(targets[s]) for k, s, n in rows)
+    many = {(r["id"], r["tk"]): r for r in mix(some, few=3).collect()}
+    for k, r in many.items():
+        assert (r["copies"], r["source_size"]) == (got[k]["copies"], got[k]["source_size"]) and r["target"] == pytest.approx(got[k]["target"])
+        assert r["positions"] == pytest.approx(got[k]["positions"])
+
+
+def test_training_documents_keep_rows_apart(spark):
+    """Rows of one id and text, but another source, are two documents; so are they where one of a group stays."""
+    from clausewise.llm.simhash import keep_one
+    from clausewise.llm.source_mix import mix, training_documents
+
+    text = "one two three four five six"
+    df = frame(spark, [(1, text, "en", "A"), (1, text, "en", "B"), (2, "x " * 20, "en", "A"), (3, "u v w", "en", "B")])
+    copies = Counter({(r["id"], r["source"]): r["copies"] for r in mix(df).collect()})
+    out = Counter((r["doc_id"], r["source"]) for r in training_documents(df).collect())
+    assert out == +copies and copies[(1, "A")] != copies[(1, "B")]
+    runs = {tuple((r["doc_id"], r["source"]) for r in keep_one(df.repartition(n)).filter("doc_id = 1").collect()) for n in (1, 2, 3)}
+    assert len(runs) == 1 and len(runs.pop()) == 1
 
 
 # --- 10
@@ -799,6 +889,32 @@ def test_trust_and_distrust_spread(spark):
     assert got["far.org"]["verdict"] == "allow" and got["friend.org"]["distrust"] == 0
 
 
+def test_many_rules_as_a_table(spark, monkeypatch):
+    """More rules than an expression takes: the join gives what the expression gives."""
+    from clausewise.llm import host_filter
+
+    rng = random.Random(5)
+    hosts = [".".join(rng.choice(["a", "b", "net", "x-y", ""]) for _ in range(rng.randrange(1, 5))) for _ in range(150)]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts + ["net", "a", "b.net"]), rng.choice(["", "/", "/a", "/a/b", "/b"])) for _ in range(700)]
+    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/bc', '/b?q'])}", None) for k in range(300)] + [(900, None, None), (7, "http://net/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda r: (r["id"], r["host"], r["path"], r["rule"], r["verdict"])
+    table = Counter(map(key, host_filter.judge_urls(df, rules).collect()))
+    monkeypatch.setattr(host_filter, "INLINE_RULES", 10_000)
+    assert table == Counter(map(key, host_filter.judge_urls(df, rules[:]).collect())) and sum(k[3] is not None for k in table) > 100
+
+
+def test_hot_host_and_long_pages(spark):
+    """A third of the pages on one host, one page of many links, one very long url."""
+    from clausewise.llm.host_filter import judge_urls
+
+    pages = [(k, "http://hot.net/" if k % 3 else f"http://h{k}.org/p", f"<a href='http://h{k}.org/'>x</a>") for k in range(300)]
+    pages += [(900, "http://hub.org/", "".join(f"<a href='http://h{k}.org/x'>" for k in range(2000))), (901, "http://long.org/" + "a" * 200_000, None)]
+    got = {r["id"]: r for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == 302 and got[1]["distrust"] == pytest.approx(1.0) and got[1]["verdict"] == "block"
+    assert len(got[901]["path"]) == 200_001 and got[900]["verdict"] == "allow"
+
+
 def test_distrust_circulates_to_its_end(spark):
     """On a cycle of two hosts the scores are geometric series."""
     from clausewise.llm.host_filter import judge_urls
@@ -814,14 +930,20 @@ def test_distrust_circulates_to_its_end(spark):
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
     from clausewise.llm.line_dedup import line_report
+    from clausewise.llm.source_mix import mix
 
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "source_mix", "sentencepiece"]
     x = docs
     for name, stage in cp.STAGES:
         y = stage(spark, x, SF).cache()
+        before, after = {r["doc_id"]: r for r in x.collect()}, y.collect()
+        if name == "source_mix":
+            want = Counter()
+            for r in mix(x).collect():
+                want[r["id"]] += r["copies"]
+            assert Counter(r["doc_id"] for r in after) == +want
         if name != "sentencepiece":
             assert y.columns == docs.columns, name
-        before, after = {r["doc_id"]: r for r in x.collect()}, y.collect()
         if name == "language_id":
             assert len(after) >= 0.97 * len(before)
         if name == "line_dedup":
@@ -834,8 +956,26 @@ def test_pipeline_stages(spark, docs):
             prints = [(i, simhash_reference(r["text"])) for i, r in before.items()]
             assert sorted(r["doc_id"] for r in after) == sorted(set(components_reference(prints).values()))
         x = y
-    assert cp.run(spark, SF).count() == x.count()
-    assert set(x.columns) == {"doc_id", "n_tokens", "ids"}
+    out = cp.run(spark, SF)
+    assert set(x.columns) == set(out.columns) == {"doc_id", "position", "n_tokens", "ids", "text"}
+    rows = out.orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(x.count()))
+    import sentencepiece
+
+    from clausewise.llm.queries import PIECES, vocabulary
+
+    library = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+    assert all(r["n_tokens"] == len(r["ids"]) and r["text"] == library.decode(r["ids"]) for r in rows)
+
+
+def test_pipeline_order_is_the_training_order(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+    from clausewise.llm.source_mix import mix, training_order
+
+    want = [r["id"] for r in training_order(mix(docs)).collect()]
+    cp.training_documents(docs).write.parquet(str(tmp_path / "mixed"))
+    got = cp.sentencepiece(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).orderBy("position").collect()
+    assert [r["doc_id"] for r in got] == want
 
 
 def test_pipeline_edges(spark, edge, empty):
