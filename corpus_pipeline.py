@@ -4,7 +4,7 @@
 2. line dedup: of near-equal lines one stays in the corpus (texts shrink, documents stay);
 3. SimHash near-dedup: one document of each group stays;
 4. mixing: documents are taken to their sources' target words and put in training order;
-5. SentencePiece encoding: token ids of each document taken.
+5. SentencePiece encoding and decoding: token ids and decoded text of each document taken, with its place in the order.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausewise.llm.language_id import accepted
 from clausewise.llm.line_dedup import dedup_lines
@@ -45,9 +46,23 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document taken."""
-    coded = encode_documents(docs, vocabulary(PIECES))
-    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, position (place in the training order, from 0), n_tokens, ids and the decoded text of each document taken.
+
+    The order is that of the files that docs is read from; where docs is not read from files, position is null.
+    """
+    coded = encode_documents(in_order(docs), vocabulary(PIECES), keep=("position",))
+    return coded.select(F.col("id").alias("doc_id"), "position", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, position): rows with their place in the files' order (file names, then rows)."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return docs.select("doc_id", "text", F.lit(None).cast("long").alias("position"))
+    x = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # a row for each file
+    sizes = x.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    before = sizes.select("file", F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return x.join(F.broadcast(before), "file").select("doc_id", "text", (F.col("before") + F.col("row")).alias("position"))
 
 
 def _prepared(stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
