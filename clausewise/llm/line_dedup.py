@@ -18,8 +18,9 @@ Steps, all DataFrame functions:
 4. The exact rest: pairs of a bucket without its leader. Members that link to the leader are joined through it, so one of
    the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
    their common part is bounded by what each shares with the leader and what each has besides. Lines that can still reach
-   the threshold meet by a prefix filter: they must share one of their rarest shingles, at places late enough in neither
-   order. No candidate of a bucket is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+   the threshold meet by a prefix filter: they must share one of their first shingles, at places late enough in neither
+   order; what the leader lacks comes first, so that edits of it meet by their edits, and is counted. No candidate of a
+   bucket is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
 5. Verified links are joined by a distributed union-find.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
@@ -101,13 +102,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both) of pairs (a, b): the sizes of the two lines' sets and of their common part. Many pairs may
-    share their a."""
+def _scored(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, na, nb, both, front) of pairs (a, b): the sizes of the two lines' sets and of their common part, and the
+    first shingles of b that a partner must share one of. Many pairs may share their a.
+
+    Of n shingles, the first n - ceil(threshold * n) + 1 in an order that all partners of a keep: those that a lacks, then
+    the others, each by hash. Edits of a have their own shingles in front.
+    """
     x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
     sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
-    sizes = let(sets, lambda v: F.struct(F.size(v["norm_a"]).alias("na"), F.size(v["norm_b"]).alias("nb"), F.size(F.array_intersect(v["norm_a"], v["norm_b"])).alias("both")))
-    return x.select("a", "b", sizes.alias("s")).select("a", "b", "s.*")
+
+    def compared(v: Column) -> Column:
+        n = F.size(v["norm_b"])
+        own, both = F.sort_array(F.array_except(v["norm_b"], v["norm_a"])), F.sort_array(F.array_intersect(v["norm_b"], v["norm_a"]))
+        front = F.slice(F.concat(own, both), F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+        return F.struct(F.size(v["norm_a"]).alias("na"), n.alias("nb"), (n - F.size(own)).alias("both"), front.alias("front"))
+
+    return x.select("a", "b", let(sets, compared).alias("s")).select("a", "b", "s.*")
 
 
 def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
@@ -115,26 +126,24 @@ def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (na + nb - both) - 1e-9
 
 
-def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rest (leader, name, out, n, both): two lines checked against one leader, one of them out,
-    that can reach the threshold by their common parts with the leader and by a prefix filter in an order by frequency."""
-    names = stored(rest.select("name").distinct())
-    each = texts.join(names, "name").select("name", F.explode(shingles(F.col("norm"))).alias("g"))
-    often = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("often")))
-    ranked = each.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "g"))).alias("order"))
-    size = F.size("order")
-    length = (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int")
-    prefix = stored(ranked.select("name", F.transform(F.slice("order", 1, length), lambda x: x["g"]).alias("p")))
-    placed = stored(rest.join(prefix, "name").select("leader", "out", "name", "n", "both", F.posexplode("p").alias("at", "g")))
-    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "n", "both", "at", "out")]
+def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) of rest (leader, name, out, n, both, front): two lines checked against one leader, one of them
+    out, that can reach the threshold by their common parts with the leader and by a prefix filter."""
+    placed = stored(rest.select("leader", "out", "name", "n", "both", F.size("front").alias("f"), F.posexplode("front").alias("at", "g")))
+    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "n", "both", "f", "at", "out")]
     mine, theirs = placed.filter("out").select("leader", "g", *side("1")), placed.select("leader", "g", *side("2"))
-    # what stands from a shared place on must still hold the common part that the threshold asks for
     need = threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
+    # what stands from a shared place on must still hold the common part that the threshold asks for
     late = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
     # the common part lies in the leader's set or out of it
-    most = F.least("both1", "both2") + F.least(F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2"))
-    met = theirs.join(mine, ["leader", "g"]).filter((F.col("name1") != F.col("name2")) & late & (most >= need) & (~F.col("out2") | (F.col("name1") < F.col("name2"))))
-    return met.select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
+    inside, own1, own2 = F.least("both1", "both2"), F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2")
+    own = F.col("at1") < own1
+    pair = (F.col("name1") != F.col("name2")) & (~F.col("out2") | (F.col("name1") < F.col("name2")))
+    met = theirs.join(mine, ["leader", "g"]).filter(pair & (own | late) & (inside + F.least(own1, own2) >= need))
+    # shared shingles out of the leader's set are counted; of those, only what does not stand in front is not seen
+    unseen = F.greatest(own1 - F.col("f1"), F.lit(0)) + F.greatest(own2 - F.col("f2"), F.lit(0))
+    seen = met.groupBy("leader", "name1", "name2").agg(F.sum(own.cast("int")).alias("seen"), F.max(late).alias("late"), F.first(need - inside - unseen).alias("lack"))
+    return seen.filter("late AND seen >= lack").select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
 
 
 def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -147,21 +156,21 @@ def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     pairs = stored(met.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct())
     names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
-    scored = stored(_scored(pairs, texts))
+    scored = stored(_scored(pairs, texts, threshold))
     near = _reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)
     links = scored.filter(near).select("a", "b")
 
     # members of all buckets of one leader are held against each other, which no bucket's pairs miss
-    placed = scored.select(F.col("a").alias("leader"), F.col("b").alias("name"), (~near).alias("out"), F.col("nb").alias("n"), "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+    placed = scored.select(F.col("a").alias("leader"), F.col("b").alias("name"), (~near).alias("out"), F.col("nb").alias("n"), "both", "front", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
     far = F.when(F.col("out"), F.col("j"))
     reach = stored(placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo IS NOT NULL AND k > 1").select("leader", "lo", "hi"))
     slack = 1 - threshold + 1e-9
-    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("leader", "name", "out", "n", "both"))
+    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("leader", "name", "out", "n", "both", "front"))
     if rest.isEmpty():
         return links
     known = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_rest_pairs(rest, texts, threshold).join(known, ["a", "b"], "left_anti"))
-    return links.unionAll(_scored(more, texts).filter(near).select("a", "b"))
+    more = stored(_rest_pairs(rest, threshold).join(known, ["a", "b"], "left_anti"))
+    return links.unionAll(_scored(more, texts, threshold).filter(near).select("a", "b"))
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
