@@ -15,13 +15,13 @@ Steps, all DataFrame functions:
    band keep apart lines that only share the common shingles of a language.
 3. Buckets of one line are told by counting. Of other buckets, each member is checked against the line with most
    occurrences, exactly.
-4. The exact rest: pairs of a bucket without its leader. Members that link to the leader are joined through it, so one of
-   the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
+   Verified links are joined by a distributed union-find.
+4. The exact rest: pairs of a bucket without its leader, where the two ends are not of one component yet. Members that link
+   to the leader are joined through it, so one of the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
    their common part is bounded by what each shares with the leader and what each has besides. Lines that can still reach
    the threshold meet by a prefix filter: they must share one of their first shingles, at places late enough in neither
-   order; what the leader lacks comes first, so that edits of it meet by their edits, and is counted. No candidate of a
-   bucket is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
-5. Verified links are joined by a distributed union-find.
+   order; what the leader lacks comes first, so that edits of it meet by their edits, and is counted. No candidate is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+5. What the rest links is joined by a union-find over components.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
 are dropped; lines without a word always stay.
@@ -127,10 +127,11 @@ def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
 
 
 def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rest (leader, name, out, n, both, front): two lines checked against one leader, one of them
-    out, that can reach the threshold by their common parts with the leader and by a prefix filter."""
-    placed = stored(rest.select("leader", "out", "name", "n", "both", F.size("front").alias("f"), F.posexplode("front").alias("at", "g")))
-    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "n", "both", "f", "at", "out")]
+    """Candidate pairs (a, b) of rest (leader, name, component, out, n, both, front): two lines checked against one leader, of
+    different components, one of them out, that can reach the threshold by their common parts with the leader and by a
+    prefix filter."""
+    placed = stored(rest.select("leader", "out", "component", "name", "n", "both", F.size("front").alias("f"), F.posexplode("front").alias("at", "g")))
+    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "component", "n", "both", "f", "at", "out")]
     mine, theirs = placed.filter("out").select("leader", "g", *side("1")), placed.select("leader", "g", *side("2"))
     need = threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
     # what stands from a shared place on must still hold the common part that the threshold asks for
@@ -138,7 +139,7 @@ def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     # the common part lies in the leader's set or out of it
     inside, own1, own2 = F.least("both1", "both2"), F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2")
     own = F.col("at1") < own1
-    pair = (F.col("name1") != F.col("name2")) & (~F.col("out2") | (F.col("name1") < F.col("name2")))
+    pair = (F.col("component1") != F.col("component2")) & (~F.col("out2") | (F.col("name1") < F.col("name2")))
     met = theirs.join(mine, ["leader", "g"]).filter(pair & (own | late) & (inside + F.least(own1, own2) >= need))
     # shared shingles out of the leader's set are counted; of those, only what does not stand in front is not seen
     unseen = F.greatest(own1 - F.col("f1"), F.lit(0)) + F.greatest(own2 - F.col("f2"), F.lit(0))
@@ -146,8 +147,8 @@ def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     return seen.filter("late AND seen >= lack").select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
 
 
-def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) of members (name, n, bucket), a row for each line and band."""
+def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(name, component) of linked lines among members (name, n, bucket), a row for each line and band."""
     # counted by bucket alone: most buckets hold one line
     shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("bucket"))
     met = stored(members.join(shared, "bucket"))
@@ -158,19 +159,32 @@ def _links(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
     scored = stored(_scored(pairs, texts, threshold))
     near = _reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)
-    links = scored.filter(near).select("a", "b")
-
-    # members of all buckets of one leader are held against each other, which no bucket's pairs miss
-    placed = scored.select(F.col("a").alias("leader"), F.col("b").alias("name"), (~near).alias("out"), F.col("nb").alias("n"), "both", "front", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"))
+    found = stored(connected_components(scored.filter(near).select("a", "b")).withColumnRenamed("node", "name"))
+
+    # members of all buckets of one leader are held against each other, which no bucket's pairs miss; the two ends of a
+    # pair of one component need no check, and what is in the leader's component is not out
+    of = lambda c: found.toDF(c, f"component_{c}")
+    likeness = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    placed = scored.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.coalesce("component_a", "a").alias("main"), F.coalesce("component_b", "b").alias("component"), F.col("nb").alias("n"), "both", "front", likeness.alias("j"))
+    placed = stored(placed.withColumn("out", F.col("component") != F.col("main")).drop("main"))
     far = F.when(F.col("out"), F.col("j"))
-    reach = stored(placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo IS NOT NULL AND k > 1").select("leader", "lo", "hi"))
+    reach = placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    reach = stored(reach.filter("lo IS NOT NULL AND c1 != c2").select("leader", "lo", "hi"))
     slack = 1 - threshold + 1e-9
-    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).select("leader", "name", "out", "n", "both", "front"))
+    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).drop("lo", "hi", "j"))
     if rest.isEmpty():
-        return links
+        return found
     known = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(_rest_pairs(rest, threshold).join(known, ["a", "b"], "left_anti"))
-    return links.unionAll(_scored(more, texts, threshold).filter(near).select("a", "b"))
+    more = stored(_scored(more, texts, threshold).filter(near).select("a", "b"))
+    if more.isEmpty():
+        return found
+    # later links join components that exist already, or lines that stood alone
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
+    merged = stored(connected_components(joined).toDF("component", "whole"))
+    old = found.join(merged, "component", "left").select("name", F.coalesce("whole", "component").alias("component"))
+    alone = merged.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("name"), F.col("whole").alias("component"))
+    return old.unionAll(alone)
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +195,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     distinct = lines.groupBy("name").agg(F.first("norm").alias("norm"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     table = stored(signatures(exploded(distinct, "name", "first_id", "n"), "first_id", "n"))
     members = table.select("name", "n", F.explode("bands").alias("bucket"))
-    found = stored(connected_components(_links(members, lines, threshold)).withColumnRenamed("node", "name"))
+    found = stored(_components(members, lines, threshold))
     marked = table.select("name", "first_id", "n").join(found.hint(HASH), "name", "left").filter("n > 1 OR component IS NOT NULL")
     marked = stored(marked.select("name", "first_id", "n", "component"))
     alone = marked.filter("component IS NULL").select("name", F.col("name").alias("component"), "first_id", "n")

@@ -508,8 +508,8 @@ def test_line_bands_share_one_minimum():
     assert all(len(a & b) <= 1 for i, a in enumerate(bands) for b in bands[:i])
 
 
-def test_line_rest_pairs_lose_no_link(spark, monkeypatch):
-    """One bucket of all lines: with the leader's links, the prefix filter's candidates hold every other link."""
+def test_line_rest_loses_no_link(spark):
+    """One bucket of all lines: star, prefix filter and union-find give the components of all pairs."""
     from clausewise.llm import line_dedup
 
     rng = random.Random(3)
@@ -523,12 +523,19 @@ def test_line_rest_pairs_lose_no_link(spark, monkeypatch):
     names = sorted(names)
     lines = spark.createDataFrame([(k, t) for k, t in enumerate(names)], "name long, norm string")
     members = lines.selectExpr("name", "if(name = 5, 9L, 1L) AS n", "1L AS bucket")
-    got = {frozenset(r) for r in line_dedup._links(members, lines, 0.8).collect()}
+    got = {r["name"]: r["component"] for r in line_dedup._components(members, lines, 0.8).collect()}
     sets = [shingles_reference(t) for t in names]
-    links = [(a, b) for a in range(len(names)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    leader = {x for p in links if 5 in p for x in p}
-    want = {frozenset(p) for p in links if 5 in p or not set(p) <= leader}
-    assert len(want) > 40 and want <= got <= {frozenset(p) for p in links}
+    label = list(range(len(names)))
+    for a in range(len(names)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    want = {frozenset(k for k, x in enumerate(label) if x == c) for c in set(label)}
+    assert len({c for c in want if len(c) > 1}) >= 5
+    groups = defaultdict(set)
+    for k in range(len(names)):
+        groups[got.get(k, k)].add(k)
+    assert {frozenset(g) for g in groups.values()} == want
 
 
 def test_line_dedup_edges(spark, edge, empty):
