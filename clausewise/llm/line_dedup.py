@@ -17,10 +17,12 @@ Steps, all DataFrame functions:
    occurrences, exactly.
    Verified links are joined by a distributed union-find.
 4. The exact rest: pairs of a bucket without its leader, where the two ends are not of one component yet. Members that link
-   to the leader are joined through it, so one of the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
-   their common part is bounded by what each shares with the leader and what each has besides. Lines that can still reach
-   the threshold meet by a prefix filter: they must share one of their first shingles, at places late enough in neither
-   order; what the leader lacks comes first, so that edits of it meet by their edits, and is counted. No candidate is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+   to the leader are joined through it, so one of the two does not. Jaccard distance is a metric, so their distances to
+   the leader differ by 1 - threshold at most, and their common part is bounded by what each shares with the leader and
+   what each has besides. Lines that can still reach the threshold meet by a prefix filter: they must share one of their
+   first shingles, at places late enough in neither order. What the leader lacks comes first and of that what few lines
+   have, so that edits of one line meet by rare edits that they share, not by the common shingles of a language. No
+   candidate is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
 5. What the rest links is joined by a union-find over components.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
@@ -102,23 +104,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _scored(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, na, nb, both, front) of pairs (a, b): the sizes of the two lines' sets and of their common part, and the
-    first shingles of b that a partner must share one of. Many pairs may share their a.
-
-    Of n shingles, the first n - ceil(threshold * n) + 1 in an order that all partners of a keep: those that a lacks, then
-    the others, each by hash. Edits of a have their own shingles in front.
-    """
+def _compared(pairs: DataFrame, texts: DataFrame, compare, *keep: str) -> DataFrame:
+    """keep... and the fields of compare(v), which sees the two lines' shingle sets as v["norm_a"] and v["norm_b"], of
+    pairs (a, b). Many pairs may share their a."""
     x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
     sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
+    return x.select(*keep, let(sets, compare).alias("s")).select(*keep, "s.*")
 
-    def compared(v: Column) -> Column:
-        n = F.size(v["norm_b"])
-        own, both = F.sort_array(F.array_except(v["norm_b"], v["norm_a"])), F.sort_array(F.array_intersect(v["norm_b"], v["norm_a"]))
-        front = F.slice(F.concat(own, both), F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-        return F.struct(F.size(v["norm_a"]).alias("na"), n.alias("nb"), (n - F.size(own)).alias("both"), front.alias("front"))
 
-    return x.select("a", "b", let(sets, compared).alias("s")).select("a", "b", "s.*")
+def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both) of pairs (a, b): the sizes of the two lines' sets and of their common part."""
+    sizes = lambda v: F.struct(F.size(v["norm_a"]).alias("na"), F.size(v["norm_b"]).alias("nb"), F.size(F.array_intersect(v["norm_a"], v["norm_b"])).alias("both"))
+    return _compared(pairs, texts, sizes, "a", "b")
 
 
 def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
@@ -126,25 +123,41 @@ def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (na + nb - both) - 1e-9
 
 
-def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rest (leader, name, component, out, n, both, front): two lines checked against one leader, of
+def _rest_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) of rest (leader, name, component, out, n, both): two lines checked against one leader, of
     different components, one of them out, that can reach the threshold by their common parts with the leader and by a
-    prefix filter."""
-    placed = stored(rest.select("leader", "out", "component", "name", "n", "both", F.size("front").alias("f"), F.posexplode("front").alias("at", "g")))
-    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "component", "n", "both", "f", "at", "out")]
-    mine, theirs = placed.filter("out").select("leader", "g", *side("1")), placed.select("leader", "g", *side("2"))
+    prefix filter.
+
+    The order of a leader's shingles: those it lacks that no such pair shares, others that it lacks by the number of
+    lines that have them, then its own by hash.
+    """
+    # of n shingles, a partner must share one of the first n - ceil(threshold * n) + 1 in any order
+    first = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+
+    def split(v: Column) -> Column:
+        return F.struct(F.array_except(v["norm_b"], v["norm_a"]).alias("own"), F.array_intersect(v["norm_b"], v["norm_a"]).alias("shared"))
+
+    line = ["leader", "name", "component", "out", "n", "both"]
+    parts = _compared(rest.withColumns({"a": F.col("leader"), "b": F.col("name")}), texts, split, *line)
+    parts = stored(parts.withColumn("shared", F.slice(F.sort_array("shared"), F.lit(1), F.greatest(first - F.size("own"), F.lit(0)))))
+    tokens = parts.select(*line, F.explode("own").alias("g"))
+    meet = tokens.groupBy("leader", "g").agg(F.count(F.lit(1)).alias("lines"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("out").alias("some"))
+    meet = stored(meet.filter("some AND c1 != c2").select("leader", "g", "lines"))
+    own = tokens.join(meet, ["leader", "g"]).groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("lines", "g"))).alias("met"))
+    # the shingles that no such pair shares stand before those met
+    own = own.select(*line, F.size("met").alias("m"), F.posexplode("met")).select(*line, (F.col("n") - F.col("both") - F.col("m") + F.col("pos")).alias("at"), F.col("col.g").alias("g"))
+    shared = parts.select(*line, F.posexplode("shared")).select(*line, (F.col("n") - F.col("both") + F.col("pos")).alias("at"), F.col("col").alias("g"))
+    placed = stored(own.unionAll(shared).filter(F.col("at") < first))
+    side = lambda s: ["leader", "g", *[F.col(c).alias(c + s) for c in ("name", "component", "n", "both", "at", "out")]]
+    mine, theirs = placed.filter("out").select(*side("1")), placed.select(*side("2"))
     need = threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
     # what stands from a shared place on must still hold the common part that the threshold asks for
     late = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
     # the common part lies in the leader's set or out of it
-    inside, own1, own2 = F.least("both1", "both2"), F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2")
-    own = F.col("at1") < own1
+    room = F.least("both1", "both2") + F.least(F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2"))
     pair = (F.col("component1") != F.col("component2")) & (~F.col("out2") | (F.col("name1") < F.col("name2")))
-    met = theirs.join(mine, ["leader", "g"]).filter(pair & (own | late) & (inside + F.least(own1, own2) >= need))
-    # shared shingles out of the leader's set are counted; of those, only what does not stand in front is not seen
-    unseen = F.greatest(own1 - F.col("f1"), F.lit(0)) + F.greatest(own2 - F.col("f2"), F.lit(0))
-    seen = met.groupBy("leader", "name1", "name2").agg(F.sum(own.cast("int")).alias("seen"), F.max(late).alias("late"), F.first(need - inside - unseen).alias("lack"))
-    return seen.filter("late AND seen >= lack").select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
+    met = theirs.join(mine, ["leader", "g"]).filter(pair & late & (room >= need))
+    return met.select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
 
 
 def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -157,7 +170,7 @@ def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataF
     pairs = stored(met.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct())
     names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
-    scored = stored(_scored(pairs, texts, threshold))
+    scored = stored(_scored(pairs, texts))
     near = _reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)
     found = stored(connected_components(scored.filter(near).select("a", "b")).withColumnRenamed("node", "name"))
 
@@ -165,7 +178,7 @@ def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataF
     # pair of one component need no check, and what is in the leader's component is not out
     of = lambda c: found.toDF(c, f"component_{c}")
     likeness = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    placed = scored.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.coalesce("component_a", "a").alias("main"), F.coalesce("component_b", "b").alias("component"), F.col("nb").alias("n"), "both", "front", likeness.alias("j"))
+    placed = scored.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.coalesce("component_a", "a").alias("main"), F.coalesce("component_b", "b").alias("component"), F.col("nb").alias("n"), "both", likeness.alias("j"))
     placed = stored(placed.withColumn("out", F.col("component") != F.col("main")).drop("main"))
     far = F.when(F.col("out"), F.col("j"))
     reach = placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.min("component").alias("c1"), F.max("component").alias("c2"))
@@ -175,8 +188,8 @@ def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataF
     if rest.isEmpty():
         return found
     known = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_rest_pairs(rest, threshold).join(known, ["a", "b"], "left_anti"))
-    more = stored(_scored(more, texts, threshold).filter(near).select("a", "b"))
+    more = stored(_rest_pairs(rest, texts, threshold).join(known, ["a", "b"], "left_anti"))
+    more = stored(_scored(more, texts).filter(near).select("a", "b"))
     if more.isEmpty():
         return found
     # later links join components that exist already, or lines that stood alone
