@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.runtime import stored
+from clausewise.runtime import released, stored
 
 MAX_ROUNDS = 100
 
@@ -33,13 +33,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = stored(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = stored(both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        nearest = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(nearest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, e = e, stored(small.unionAll(nearest.select("u", F.col("m").alias("v"))).distinct())
+        released(old, least, large, nearest)
         now = _mark(e)
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    # the one table that the result reads, for ``released``
+    out.stored_at = e.stored_at
+    return out

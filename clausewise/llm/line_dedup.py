@@ -14,13 +14,14 @@ Steps, all DataFrame functions:
    place of 126. A similarity of 0.8 meets in some bucket with a chance of 98.7 %, one of 0.85 with 99.8 %. Six minima a
    band keep apart lines that only share the common shingles of a language.
 3. Buckets of one line are told by counting. Of other buckets, each member is checked against the line with most
-   occurrences, exactly.
+   occurrences: first by parities, then exactly. A line's parities tell for each of 1,024 cells whether an odd number of its
+   shingles falls there. Each cell where two lines differ holds a shingle that only one of them has, so the count of such
+   cells is a lower bound of their difference, and no pair that reaches the threshold is lost.
    Verified links are joined by a distributed union-find.
 4. The exact rest: pairs of a bucket without its leader, where the two ends are not of one component yet. Members that link
-   to the leader are joined through it, so one of the two does not. Jaccard distance is a metric, so their distances to the leader differ by 1 - threshold at most, and
-   their common part is bounded by what each shares with the leader and what each has besides. Lines that can still reach
-   the threshold meet by a prefix filter: they must share one of their first shingles, at places late enough in neither
-   order; what the leader lacks comes first, so that edits of it meet by their edits, and is counted. No candidate is dropped, and a bucket of n near-equal lines costs about n checks, not n * n.
+   to the leader are joined through it, so one of the two does not. They meet by leader, are held against each other by
+   their parities (16 words each, in generated code), and what can reach the threshold is checked exactly. No candidate is
+   dropped; a leader of n members of which m do not link to it costs n * m comparisons of parities, but few exact checks.
 5. What the rest links is joined by a union-find over components.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.columns import fresh, let
 from clausewise.llm.components import connected_components
-from clausewise.runtime import stored
+from clausewise.runtime import released, stored
 
 SHINGLE, ROWS, COLUMNS, BANDS, THRESHOLD = 5, 6, 7, 21, 0.8
+#: Words of 64 cells in a line's parities.
+WORDS = 16
 #: Rows of a component are dealt to this many cells where they meet its first document.
 CELLS = 16
 #: The table of all lines is streamed past the smaller side, whose names are unique or occur once a band at most.
@@ -102,23 +105,32 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.withColumn("name", F.xxhash64("norm"))
 
 
-def _scored(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, na, nb, both, front) of pairs (a, b): the sizes of the two lines' sets and of their common part, and the
-    first shingles of b that a partner must share one of. Many pairs may share their a.
+def parities(texts: DataFrame) -> DataFrame:
+    """(name, size, bits) of a table (name, norm) of distinct names: the number of a line's shingles, and for each of
+    64 * WORDS cells whether an odd number of them falls there."""
+    # dealt by name first, so that a line's shingles are made distinct in its task
+    dealt = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    word, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    words = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]
+    counted = exploded(dealt, "name").distinct().groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("size"), *words)
+    return counted.select("name", "size", F.array(*[F.col(f"w{k}") for k in range(WORDS)]).alias("bits"))
 
-    Of n shingles, the first n - ceil(threshold * n) + 1 in an order that all partners of a keep: those that a lacks, then
-    the others, each by hash. Edits of a have their own shingles in front.
-    """
-    x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
-    sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
 
-    def compared(v: Column) -> Column:
-        n = F.size(v["norm_b"])
-        own, both = F.sort_array(F.array_except(v["norm_b"], v["norm_a"])), F.sort_array(F.array_intersect(v["norm_b"], v["norm_a"]))
-        front = F.slice(F.concat(own, both), F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-        return F.struct(F.size(v["norm_a"]).alias("na"), n.alias("nb"), (n - F.size(own)).alias("both"), front.alias("front"))
+def _may_reach(size1: Column, bits1: Column, size2: Column, bits2: Column, threshold: float) -> Column:
+    """False only for pairs below the threshold: cells of unlike parity hold a shingle of one line alone, and pairs that
+    reach it have at most this share of such shingles."""
+    most = F.lit((1 - threshold) / (1 + threshold)) * (size1 + size2) + 1e-6
+    unlike = [F.bit_count(F.get(bits1, F.lit(k)).bitwiseXOR(F.get(bits2, F.lit(k)))) for k in range(WORDS)]
+    return (F.abs(size1 - size2) <= most) & (sum(unlike[1:], unlike[0]) <= most)
+
 
-    return x.select("a", "b", let(sets, compared).alias("s")).select("a", "b", "s.*")
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines reach the threshold, by their whole shingle sets. Many pairs may share their a."""
+    x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
+    sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
+    sizes = lambda v: F.struct(F.size(v["norm_a"]).alias("na"), F.size(v["norm_b"]).alias("nb"), F.size(F.array_intersect(v["norm_a"], v["norm_b"])).alias("both"))
+    x = x.select("a", "b", let(sets, sizes).alias("s")).select("a", "b", "s.*")
+    return x.filter(_reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
 
 
 def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
@@ -127,64 +139,57 @@ def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
 
 
 def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rest (leader, name, component, out, n, both, front): two lines checked against one leader, of
-    different components, one of them out, that can reach the threshold by their common parts with the leader and by a
-    prefix filter."""
-    placed = stored(rest.select("leader", "out", "component", "name", "n", "both", F.size("front").alias("f"), F.posexplode("front").alias("at", "g")))
-    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "component", "n", "both", "f", "at", "out")]
-    mine, theirs = placed.filter("out").select("leader", "g", *side("1")), placed.select("leader", "g", *side("2"))
-    need = threshold / (1 + threshold) * (F.col("n1") + F.col("n2")) - 1e-9
-    # what stands from a shared place on must still hold the common part that the threshold asks for
-    late = (F.col("n1") - F.col("at1") >= need) & (F.col("n2") - F.col("at2") >= need)
-    # the common part lies in the leader's set or out of it
-    inside, own1, own2 = F.least("both1", "both2"), F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2")
-    own = F.col("at1") < own1
+    """Candidate pairs (a, b) of rest (leader, name, component, out, size, bits): two lines checked against one leader, of
+    different components, one of them out, that can reach the threshold by their parities."""
+    side = lambda s: [F.col(c).alias(c + s) for c in ("name", "component", "size", "bits", "out")]
+    mine, theirs = rest.filter("out").select("leader", *side("1")), rest.select("leader", *side("2"))
     pair = (F.col("component1") != F.col("component2")) & (~F.col("out2") | (F.col("name1") < F.col("name2")))
-    met = theirs.join(mine, ["leader", "g"]).filter(pair & (own | late) & (inside + F.least(own1, own2) >= need))
-    # shared shingles out of the leader's set are counted; of those, only what does not stand in front is not seen
-    unseen = F.greatest(own1 - F.col("f1"), F.lit(0)) + F.greatest(own2 - F.col("f2"), F.lit(0))
-    seen = met.groupBy("leader", "name1", "name2").agg(F.sum(own.cast("int")).alias("seen"), F.max(late).alias("late"), F.first(need - inside - unseen).alias("lack"))
-    return seen.filter("late AND seen >= lack").select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
+    near = _may_reach(F.col("size1"), F.col("bits1"), F.col("size2"), F.col("bits2"), threshold)
+    return theirs.join(mine, "leader").filter(pair & near).select(F.least("name1", "name2").alias("a"), F.greatest("name1", "name2").alias("b")).distinct()
 
 
 def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(name, component) of linked lines among members (name, n, bucket), a row for each line and band."""
+    """(name, component) of linked lines among members (name, n, bucket), a row for each line and band; a stored table."""
     # counted by bucket alone: most buckets hold one line
     shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("bucket"))
     met = stored(members.join(shared, "bucket"))
     # a bucket's leader is its line with most occurrences: others tend to be edits of it
     leaders = stored(met.groupBy("bucket").agg(F.max_by("name", F.struct("n", "name")).alias("leader")))
     pairs = stored(met.join(leaders, "bucket").filter("name != leader").select(F.col("leader").alias("a"), F.col("name").alias("b")).distinct())
+    released(shared, met, leaders)
     names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
-    scored = stored(_scored(pairs, texts, threshold))
-    near = _reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)
-    found = stored(connected_components(scored.filter(near).select("a", "b")).withColumnRenamed("node", "name"))
+    marks = stored(parities(texts))
+    marked = pairs.join(marks.toDF("b", "size_b", "bits_b"), "b").join(marks.toDF("a", "size_a", "bits_a"), "a")
+    close = stored(marked.filter(_may_reach(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b"), threshold)).select("a", "b"))
+    links = stored(_linked(close, texts, threshold))
+    whole = connected_components(links)
+    found = stored(whole.withColumnRenamed("node", "name"))
+    released(names, close, links, whole)
 
     # members of all buckets of one leader are held against each other, which no bucket's pairs miss; the two ends of a
     # pair of one component need no check, and what is in the leader's component is not out
     of = lambda c: found.toDF(c, f"component_{c}")
-    likeness = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    placed = scored.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.coalesce("component_a", "a").alias("main"), F.coalesce("component_b", "b").alias("component"), F.col("nb").alias("n"), "both", "front", likeness.alias("j"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.col("a").alias("leader"), F.col("b").alias("name"), F.coalesce("component_a", "a").alias("main"), F.coalesce("component_b", "b").alias("component"))
     placed = stored(placed.withColumn("out", F.col("component") != F.col("main")).drop("main"))
-    far = F.when(F.col("out"), F.col("j"))
-    reach = placed.groupBy("leader").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-    reach = stored(reach.filter("lo IS NOT NULL AND c1 != c2").select("leader", "lo", "hi"))
-    slack = 1 - threshold + 1e-9
-    rest = stored(placed.join(reach, "leader").filter((F.col("j") >= F.col("lo") - slack) & (F.col("j") <= F.col("hi") + slack)).drop("lo", "hi", "j"))
-    if rest.isEmpty():
-        return found
-    known = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(_rest_pairs(rest, threshold).join(known, ["a", "b"], "left_anti"))
-    more = stored(_scored(more, texts, threshold).filter(near).select("a", "b"))
+    reach = placed.groupBy("leader").agg(F.max("out").alias("any"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("any AND c1 != c2")
+    rest = stored(placed.join(reach.select("leader"), "leader").join(marks, "name"))
+    close = stored(_rest_pairs(rest, threshold))
+    more = stored(_linked(close, texts, threshold))
+    released(pairs, texts, marks, placed, rest, close)
     if more.isEmpty():
+        released(more)
         return found
     # later links join components that exist already, or lines that stood alone
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b"))
-    merged = stored(connected_components(joined).toDF("component", "whole"))
+    whole = connected_components(joined)
+    merged = stored(whole.toDF("component", "whole"))
+    released(whole)
     old = found.join(merged, "component", "left").select("name", F.coalesce("whole", "component").alias("component"))
     alone = merged.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("name"), F.col("whole").alias("component"))
-    return old.unionAll(alone)
+    out = stored(old.unionAll(alone))
+    released(more, found, merged)
+    return out
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,31 +200,37 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     distinct = lines.groupBy("name").agg(F.first("norm").alias("norm"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     table = stored(signatures(exploded(distinct, "name", "first_id", "n"), "first_id", "n"))
     members = table.select("name", "n", F.explode("bands").alias("bucket"))
-    found = stored(_components(members, lines, threshold))
+    found = _components(members, lines, threshold)
     marked = table.select("name", "first_id", "n").join(found.hint(HASH), "name", "left").filter("n > 1 OR component IS NOT NULL")
     marked = stored(marked.select("name", "first_id", "n", "component"))
+    released(table, found)
     alone = marked.filter("component IS NULL").select("name", F.col("name").alias("component"), "first_id", "n")
     linked = marked.filter("component IS NOT NULL")
     # a large component is dealt to cells, each with the component's first document
     first = linked.groupBy("component").agg(F.min("first_id").alias("comp_first")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
     dealt = linked.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(CELLS)).cast("int"))
-    return stored(alone.unionAll(dealt.join(first, ["component", "cell"]).select("name", "component", F.col("comp_first").alias("first_id"), "n")))
+    out = stored(alone.unionAll(dealt.join(first, ["component", "cell"]).select("name", "component", F.col("comp_first").alias("first_id"), "n")))
+    released(marked)
+    return out
 
 
 def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tk, dropped): for each document that loses lines, their places (from 0) in order; tk is the text's hash."""
+    """(id, tk, dropped): for each document that loses lines, their places (from 0) in order; tk is the text's hash. A
+    stored table."""
     similar = similar_lines(docs, threshold, id_col, text_col)
     places = _lines(docs, id_col, text_col).select("id", "tk", "pos", "name")
     x = places.join(similar.select("name", "component", "first_id").hint(HASH), "name")
     # a document's lines of one component; positions are of one document only
     per = x.groupBy("id", "tk", "component").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first(F.col("id").eqNullSafe(F.col("first_id"))).alias("own"))
     per = per.select("id", "tk", F.when(F.col("own"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at")).alias("at")).filter(F.size("at") > 0)
-    return per.groupBy("id", "tk").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("dropped"))
+    out = stored(per.groupBy("id", "tk").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("dropped")))
+    released(similar)
+    return out
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_lines, n_dropped, dropped (places of dropped lines)."""
-    gone = stored(dropped_lines(docs, threshold, id_col, text_col))
+    gone = dropped_lines(docs, threshold, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tk"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     x = rows.join(gone.withColumnsRenamed({"id": "gid", "tk": "gtk"}), F.col("id").eqNullSafe(F.col("gid")) & (F.col("tk") == F.col("gtk")), "left")
@@ -228,7 +239,7 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of their texts; all rows and columns stay."""
-    gone = stored(dropped_lines(docs, threshold, id_col, text_col))
+    gone = dropped_lines(docs, threshold, id_col, text_col)
     gid, gtk, at = fresh(docs, "gone_id", "gone_tk", "gone_at")
     gone = gone.toDF(gid, gtk, at)
     text = F.col(f"`{text_col}`")

@@ -538,6 +538,73 @@ def test_line_rest_loses_no_link(spark):
     assert {frozenset(g) for g in groups.values()} == want
 
 
+def test_line_parities_lose_no_link(spark):
+    """Parities keep every pair at the threshold, also where shingles repeat, and few of the others."""
+    from clausewise.llm import line_dedup
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice((3, 40, 90, 400)))).strip() or "x" for _ in range(6)] + ["ab" * 60, "ab" * 61, "abcde"]
+    for _ in range(160):
+        t = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = rng.choice("uvwxyz")
+        texts.append("".join(t))
+    lines = spark.createDataFrame(list(enumerate(texts)), "name long, norm string")
+    marks = line_dedup.parities(lines)
+    sets = [shingles_reference(t) for t in texts]
+    assert {r["name"]: r["size"] for r in marks.collect()} == {k: len(x) for k, x in enumerate(sets)}
+    x, y = marks.toDF("a", "sa", "ba"), marks.toDF("b", "sb", "bb")
+    kept = x.join(y, F.col("a") < F.col("b")).filter(line_dedup._may_reach(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb"), 0.8)).select("a", "b")
+    got = {tuple(r) for r in kept.collect()}
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) >= 50 and near <= got and len(got) <= 1.5 * len(near)
+    assert {tuple(r) for r in line_dedup._linked(kept, lines, 0.8).collect()} == near
+
+
+def test_line_rest_does_not_meet_by_shared_edits(spark, monkeypatch):
+    """Edits of one line that share edits, but do not reach the threshold, are not all checked exactly."""
+    from clausewise.llm import line_dedup
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)]
+    texts = [" ".join(words)]
+    for _ in range(200):
+        w = list(words)
+        for i in rng.sample(range(50), 12):
+            w[i] = f"{words[i][::-1]}{rng.randrange(3)}"
+        texts.append(" ".join(w))
+    checked, linked = [], line_dedup._linked
+
+    def counted(pairs, *more):
+        checked.append(pairs.count())
+        return linked(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_linked", counted)
+    lines = spark.createDataFrame(list(enumerate(texts)), "name long, norm string")
+    members = lines.selectExpr("name", "if(name = 0, 9L, 1L) AS n", "1L AS bucket")
+    found = line_dedup._components(members, lines, 0.8).collect()
+    sets = [shingles_reference(t) for t in texts]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r["name"] for r in found} == {x for pair in near for x in pair}
+    assert sum(checked) <= 2 * len(near) + 200
+
+
+def test_line_dedup_leaves_one_table(spark):
+    """Of the tables in the shared folder only the one that the result reads stays."""
+    import os
+
+    from clausewise.llm.line_dedup import line_report
+    from clausewise.runtime import shared_dir
+
+    words = [f"w{i}x" for i in range(40)]
+    rows = [(i, " ".join(f"q{i}" if k in (i % 9, i % 7 + 20) else w for k, w in enumerate(words)), "en", "a") for i in range(60)]
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    report = line_report(frame(spark, rows))
+    assert len({x for x in set(os.listdir(folder)) - before if x.startswith("table-")}) == 1
+    assert len([r for r in report.collect() if r["dropped"]]) >= 50
+
+
 def test_line_dedup_edges(spark, edge, empty):
     from clausewise.llm.line_dedup import dedup_lines, line_report
 
