@@ -508,6 +508,28 @@ def test_line_bands_share_one_minimum():
     assert all(len(a & b) <= 1 for i, a in enumerate(bands) for b in bands[:i])
 
 
+def test_line_shingles_go_by_blocks(spark):
+    """STEP shingles share a row, none is lost or added, and a line's minima are those of a row for each shingle; parities
+    take each line's set without an aggregate of (line, shingle)."""
+    from clausewise.llm import line_dedup
+
+    texts = ["a", "abcde", "abcdef", "abcdefgh", "abcdefghi", "ab" * 60, "zwölf große Füße 😀 im Schnee", "".join(chr(97 + i * i % 26) for i in range(333))]
+    lines = spark.createDataFrame(list(enumerate(texts)), "name long, norm string")
+    rows = line_dedup.exploded(lines, "name")
+    got, n = defaultdict(set), Counter()
+    for r in rows.collect():
+        n[r["name"]] += 1
+        got[r["name"]] |= set(r[1:])
+    want = {r["name"]: set(r["s"]) for r in lines.select("name", line_dedup.shingles(F.col("norm")).alias("s")).collect()}
+    assert got == want and {k: len(v) for k, v in want.items()} == {k: len(shingles_reference(t)) for k, t in enumerate(texts)}
+    assert n == {k: -(-max(1, len(t) - 4) // line_dedup.STEP) for k, t in enumerate(texts)}
+    single = lines.select("name", F.explode(line_dedup.shingles(F.col("norm"))).alias("h"))
+    by_name = lambda x: {r["name"]: r["bands"] for r in line_dedup.signatures(x).collect()}
+    assert by_name(rows) == by_name(single)
+    plan = line_dedup.parities(lines)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate(") == 2
+
+
 def test_line_rest_loses_no_link(spark):
     """One bucket of all lines: star, prefix filter and union-find give the components of all pairs."""
     from clausewise.llm import line_dedup
