@@ -15,14 +15,16 @@ Steps, all DataFrame functions:
    place of 126. A similarity of 0.8 meets in some bucket with a chance of 98.7 %, one of 0.85 with 99.8 %. Six minima a
    band keep apart lines that only share the common shingles of a language.
 3. Buckets of one line are told by counting. Of other buckets, each member is checked against the line with most
-   occurrences: first by parities, then exactly. A line's parities tell for each of 1,024 cells whether an odd number of its
-   shingles falls there. Each cell where two lines differ holds a shingle that only one of them has, so the count of such
-   cells is a lower bound of their difference, and no pair that reaches the threshold is lost.
+   occurrences: first by cells, then exactly. A line's shingles fall into 1,024 cells. Each cell that one of two lines fills
+   alone holds a shingle that only it has, so the count of such cells is a lower bound of their difference, and no pair
+   that reaches the threshold is lost. Cells need no set of a line's shingles, which only the exact check makes.
    Verified links are joined by a distributed union-find.
 4. The exact rest: pairs of a bucket without its leader, where the two ends are not of one component yet. Members that link
-   to the leader are joined through it, so one of the two does not. They meet by leader, are held against each other by
-   their parities (16 words each, in generated code), and what can reach the threshold is checked exactly. No candidate is
-   dropped; a leader of n members of which m do not link to it costs n * m comparisons of parities, but few exact checks.
+   to the leader are joined through it, so one of the two does not. They meet by leader. Lines that by their cells reach
+   no other of it go first; the others are held against each other by parities, for which one set a line is made: whether
+   an odd number of its shingles falls in a cell, a closer bound with exact sizes (16 words each, in generated code). What
+   can reach the threshold is checked exactly. No candidate is dropped; a leader of n members of which m do not link to it
+   costs n * m comparisons of cells and of parities at most, but few exact checks.
 5. What the rest links is joined by a union-find over components.
 
 Kept is the first occurrence of a component: the least document id, there the first line. All other lines of the component
@@ -35,6 +37,8 @@ With N distinct lines, two different ones share a name with a chance of N / 2**6
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,17 +64,17 @@ def normal(line: Column) -> Column:
 
 
 def _last(points: Column) -> Column:
-    """Place of the last shingle in a line's code points (4 bytes each); 0 for a line of one shingle."""
-    return F.greatest(F.floor(F.length(points) / 4).cast("int") - SHINGLE, F.lit(0))
+    """The byte (from 1) at which the last shingle starts in a line's code points of 4 bytes; 1 for a line of one shingle."""
+    return F.greatest(F.length(points) - 4 * SHINGLE, F.lit(0)) + 1
 
 
-def _shingle(points: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * SHINGLE)))
+def _shingle(points: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(points, at, F.lit(4 * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
     """The set of a normal form's shingles, as hashes; never empty for a line with a word."""
-    return let(F.encode(line, "UTF-32"), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(p)), lambda i: _shingle(p, i))))
+    return let(F.encode(line, "UTF-32"), lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(p), F.lit(4)), lambda at: _shingle(p, at))))
 
 
 def exploded(lines: DataFrame, *keep: str) -> DataFrame:
@@ -78,8 +82,8 @@ def exploded(lines: DataFrame, *keep: str) -> DataFrame:
     x = lines.select(*keep, F.encode("norm", "UTF-32").alias("points"))
     x = x.select(*keep, "points", _last(F.col("points")).alias("last"))
     # the outer form infers no filter, which would encode each line twice
-    x = x.select(*keep, "points", "last", F.explode_outer(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    return x.select(*keep, *[_shingle(F.col("points"), F.least(F.col("i") + j, F.col("last"))).alias(f"h{j}") for j in range(STEP)])
+    x = x.select(*keep, "points", "last", F.explode_outer(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("at"))
+    return x.select(*keep, *[_shingle(F.col("points"), F.least(F.col("at") + 4 * j, F.col("last"))).alias(f"h{j}") for j in range(STEP)])
 
 
 def band_members() -> list[list[int]]:
@@ -129,12 +133,52 @@ def parities(texts: DataFrame) -> DataFrame:
     return counted.select("name", "size", F.array(*[F.col(f"w{k}") for k in range(WORDS)]).alias("bits"))
 
 
+def cells(texts: DataFrame) -> DataFrame:
+    """(name, size, w0, w1, ...) of a table (name, norm) of distinct names: the number of a line's shingles with repeats, and
+    for each of 64 * WORDS cells whether a shingle falls there. Repeats set no further cell, so no set is made."""
+    dealt = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    x = exploded(dealt.withColumn("size", F.greatest(F.char_length("norm") - (SHINGLE - 1), F.lit(1))), "name", "size")
+    hashes = [c for c in x.columns if c not in ("name", "size")]
+    # bit by bit before the words are chosen, so that each is made once a shingle
+    word = [F.col(h).bitwiseAND(F.lit(WORDS - 1)).alias(f"{h}_word") for h in hashes]
+    x = x.select("name", "size", *word, *[F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 32) & 63 as int))").alias(f"{h}_bit") for h in hashes])
+    of = lambda k: [F.when(F.col(f"{h}_word") == k, F.col(f"{h}_bit")).otherwise(F.lit(0)) for h in hashes]
+    words = [F.bit_or(reduce(Column.bitwiseOR, of(k))).alias(f"w{k}") for k in range(WORDS)]
+    return x.groupBy("name").agg(F.min("size").alias("size"), *words)
+
+
+def _most_unlike(size1: Column, size2: Column, threshold: float) -> Column:
+    """The most shingles of one line alone that a pair with sets of these sizes can have where it reaches the threshold."""
+    return F.lit((1 - threshold) / (1 + threshold)) * (size1 + size2) + 1e-6
+
+
+def _unlike(words1: list[Column], words2: list[Column]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(words1, words2, strict=True)])
+
+
 def _may_reach(size1: Column, bits1: Column, size2: Column, bits2: Column, threshold: float) -> Column:
     """False only for pairs below the threshold: cells of unlike parity hold a shingle of one line alone, and pairs that
     reach it have at most this share of such shingles."""
-    most = F.lit((1 - threshold) / (1 + threshold)) * (size1 + size2) + 1e-6
-    unlike = [F.bit_count(F.get(bits1, F.lit(k)).bitwiseXOR(F.get(bits2, F.lit(k)))) for k in range(WORDS)]
-    return (F.abs(size1 - size2) <= most) & (sum(unlike[1:], unlike[0]) <= most)
+    most = _most_unlike(size1, size2, threshold)
+    words = lambda bits: [F.get(bits, F.lit(k)) for k in range(WORDS)]
+    return (F.abs(size1 - size2) <= most) & (_unlike(words(bits1), words(bits2)) <= most)
+
+
+def _cells_may_reach(s1: str, s2: str, threshold: float) -> Column:
+    """False only for pairs below the threshold: a cell that one line alone fills holds a shingle of that line alone, and
+    the shingles that both have, at most those of the smaller set, bound the others too. Of columns of ``cells`` with these
+    suffixes; their sizes bound those of the sets from above, so their difference tells nothing."""
+    words = lambda s: [F.col(f"w{k}{s}") for k in range(WORDS)]
+    size1, size2 = F.col(f"size{s1}"), F.col(f"size{s2}")
+    most = F.least(_most_unlike(size1, size2, threshold), F.lit((1 - threshold) / threshold) * F.least(size1, size2) + 1e-6)
+    return _unlike(words(s1), words(s2)) <= most
+
+
+def _both(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of marks (name, ...) for each, ending in _a and _b."""
+    for side in ("b", "a"):
+        pairs = pairs.join(marks.toDF(*[side if c == "name" else f"{c}_{side}" for c in marks.columns]), side)
+    return pairs
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -142,7 +186,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     x = pairs.join(texts.toDF("b", "norm_b"), "b").join(texts.toDF("a", "norm_a"), "a")
     sets = F.struct(*[shingles(F.col(c)).alias(c) for c in ("norm_a", "norm_b")])
     sizes = lambda v: F.struct(F.size(v["norm_a"]).alias("na"), F.size(v["norm_b"]).alias("nb"), F.size(F.array_intersect(v["norm_a"], v["norm_b"])).alias("both"))
-    x = x.select("a", "b", let(sets, sizes).alias("s")).select("a", "b", "s.*")
+    # a row of a generator: the filter below would else be moved under it and make the sets once for each number it reads
+    x = x.select("a", "b", F.explode_outer(F.array(let(sets, sizes))).alias("s")).select("a", "b", "s.*")
     return x.filter(_reaches(F.col("both"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
 
 
@@ -151,6 +196,16 @@ def _reaches(both: Column, na: Column, nb: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (na + nb - both) - 1e-9
 
 
+def _partnered(rest: DataFrame, threshold: float) -> DataFrame:
+    """The rows of rest (leader, name, component, out, size, w0, ...) that may reach another one of their leader by their
+    cells, where components differ and one is out. Semi-joins: no row for each pair."""
+    other = rest.toDF(*[f"{c}_other" for c in rest.columns])
+    mine = rest.toDF(*[f"{c}_mine" for c in rest.columns])
+    met = (F.col("leader_mine") == F.col("leader_other")) & (F.col("component_mine") != F.col("component_other")) & _cells_may_reach("_mine", "_other", threshold)
+    found = mine.filter("out_mine").join(other, met, "left_semi").unionAll(mine.filter("NOT out_mine").join(other.filter("out_other"), met, "left_semi"))
+    return found.select(*[F.col(f"{c}_mine").alias(c) for c in ("leader", "name", "component", "out")])
+
+
 def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs (a, b) of rest (leader, name, component, out, size, bits): two lines checked against one leader, of
     different components, one of them out, that can reach the threshold by their parities."""
@@ -173,9 +228,8 @@ def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataF
     released(shared, met, leaders)
     names = stored(pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).distinct())
     texts = stored(lines.select("name", "norm").join(names, "name").groupBy("name").agg(F.first("norm").alias("norm")))
-    marks = stored(parities(texts))
-    marked = pairs.join(marks.toDF("b", "size_b", "bits_b"), "b").join(marks.toDF("a", "size_a", "bits_a"), "a")
-    close = stored(marked.filter(_may_reach(F.col("size_a"), F.col("bits_a"), F.col("size_b"), F.col("bits_b"), threshold)).select("a", "b"))
+    marks = stored(cells(texts))
+    close = stored(_both(pairs, marks).filter(_cells_may_reach("_a", "_b", threshold)).select("a", "b"))
     links = stored(_linked(close, texts, threshold))
     whole = connected_components(links)
     found = stored(whole.withColumnRenamed("node", "name"))
@@ -188,9 +242,12 @@ def _components(members: DataFrame, lines: DataFrame, threshold: float) -> DataF
     placed = stored(placed.withColumn("out", F.col("component") != F.col("main")).drop("main"))
     reach = placed.groupBy("leader").agg(F.max("out").alias("any"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("any AND c1 != c2")
     rest = stored(placed.join(reach.select("leader"), "leader").join(marks, "name"))
-    close = stored(_rest_pairs(rest, threshold))
+    # few lines of the rest may reach another: only these need their sets, for parities
+    few = stored(_partnered(rest, threshold))
+    odd = stored(parities(texts.join(few.select("name").distinct(), "name")))
+    close = stored(_rest_pairs(few.join(odd, "name"), threshold))
     more = stored(_linked(close, texts, threshold))
-    released(pairs, texts, marks, placed, rest, close)
+    released(pairs, texts, marks, placed, rest, few, odd, close)
     if more.isEmpty():
         released(more)
         return found

@@ -583,6 +583,46 @@ def test_line_parities_lose_no_link(spark):
     assert {tuple(r) for r in line_dedup._linked(kept, lines, 0.8).collect()} == near
 
 
+def test_line_cells_lose_no_link(spark):
+    """Cells keep every pair at the threshold, also where shingles repeat, and few of the others; they make no sets."""
+    from clausewise.llm import line_dedup
+
+    rng = random.Random(14)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice((3, 40, 90, 400)))).strip() or "x" for _ in range(6)]
+    for _ in range(200):
+        t = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = rng.choice("uvwxyz")
+        texts.append("".join(t))
+    texts += ["abcde", "zwölf große Füße 😀 im Schnee", "ab" * 60, "ab" * 600]
+    lines = spark.createDataFrame(list(enumerate(texts)), "name long, norm string")
+    marks = line_dedup.cells(lines)
+    assert "array_distinct" not in marks._jdf.queryExecution().optimizedPlan().toString()
+    sets = [shingles_reference(t) for t in texts]
+    assert {r["name"]: r["size"] for r in marks.collect()} == {k: max(1, len(t) - 4) for k, t in enumerate(texts)}
+    pairs = lines.select(F.col("name").alias("a")).join(lines.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
+    got = {tuple(r) for r in line_dedup._both(pairs, marks).filter(line_dedup._cells_may_reach("_a", "_b", 0.8)).select("a", "b").collect()}
+    near = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) >= 50 and near <= got and (208, 209) in near and len(got) <= 1.5 * len(near)
+
+
+def test_line_candidates_make_no_sets(spark, monkeypatch):
+    """Lines that meet in a bucket, but are unlike, are told apart without their sets of shingles."""
+    from clausewise.llm import line_dedup
+
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(80)).strip() for _ in range(60)]
+    texts.append(texts[0][:40] + "z" + texts[0][41:])
+    lines = spark.createDataFrame(list(enumerate(texts)), "name long, norm string")
+    parted, checked = [], []
+    parities, linked = line_dedup.parities, line_dedup._linked
+    monkeypatch.setattr(line_dedup, "parities", lambda x: parted.append(x.count()) or parities(x))
+    monkeypatch.setattr(line_dedup, "_linked", lambda x, *more: checked.append(x.count()) or linked(x, *more))
+    members = lines.selectExpr("name", "if(name = 0, 9L, 1L) AS n", "1L AS bucket")
+    assert {r["name"]: r["component"] for r in line_dedup._components(members, lines, 0.8).collect()} == {0: 0, 60: 0}
+    assert sum(parted) + sum(checked) <= 3
+
+
 def test_line_rest_does_not_meet_by_shared_edits(spark, monkeypatch):
     """Edits of one line that share edits, but do not reach the threshold, are not all checked exactly."""
     from clausewise.llm import line_dedup
